@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetloom.llm.common import materialise
@@ -187,14 +187,39 @@ def links(fps: DataFrame) -> DataFrame:
         rows, old, bits = materialise(dealt.join(hot, "prefix", "left_semi"), "simhash-rows"), bits, min(BITS, bits + DEEPER)
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable), component_fp (its class, never null)."""
-    own = materialise(fingerprints(docs, id_col, text_col), "simhash-fp")
+def _classes(own: DataFrame) -> DataFrame:
+    """(fp, root, component_id) of the distinct fingerprints of (doc_id, fp)."""
     classes = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
     linked = materialise(components(links(classes.select("fp"))), "simhash-roots")
     rooted = classes.join(linked, classes.fp == linked.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = materialise(rooted.join(least, "root").select("fp", "root", "component_id"), "simhash-named")
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return materialise(rooted.join(least, "root").select("fp", "root", "component_id"), "simhash-named")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable), component_fp (its class, never null)."""
+    own = materialise(fingerprints(docs, id_col, text_col), "simhash-fp")
+    named = _classes(own)
     return own.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("root").alias("component_fp")
     )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns, one for each component: the one of the least id, then of the least hash of its text."""
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), key.alias("h"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = next(_fingerprints(iter([batch.select(["doc_id", "text"])])))
+            yield pa.record_batch([batch.column(0), found.column(1), batch.column(2)], names=["doc_id", "fp", "h"])
+
+    own = materialise(picked.mapInArrow(run, "doc_id long, fp long, h long"), "simhash-keys")
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("h"))).alias("f")
+    stay = own.join(_classes(own.select("doc_id", "fp")).select("fp", "root"), "fp").groupBy("root").agg(first)
+    stay = stay.select(F.col("f.doc_id").alias("_id"), F.col("f.h").alias("_h")).distinct()
+    marked = docs.withColumn("_h", key).withColumn("_id", F.col(id_col).cast("long"))
+    kept = marked.join(stay.withColumnsRenamed({"_id": "_id2", "_h": "_h2"}), F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_h") == F.col("_h2")), "left_semi")
+    once = F.row_number().over(Window.partitionBy("_id", "_h").orderBy(F.lit(0)))
+    return kept.withColumn("_once", once).filter("_once = 1").select(*docs.columns)
