@@ -1,4 +1,8 @@
-"""Queries of the engine's own operators, and the SQL that each is held against."""
+"""Queries of the engine's own operators over the driver's tables, and the SQL that each is held against.
+
+The tables stand in for captures: pages are HTML assets, events are captures and findings (their type chooses the bucket), and strings in
+pages, documents and conversations are literals.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assetloom.config import EngineConfig
+from assetloom.functions import text as T
+from assetloom.functions import urls
+from assetloom.operators import captures as C
+from assetloom.operators import facts as FA
+from assetloom.operators import findings as FI
+from assetloom.operators import rollups as R
+from assetloom.sources.rules import DEFAULTS
+
 FLAGSHIP = "pages_by_host"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -22,3 +35,343 @@ def query(sql: str | None = None):
         return f
 
     return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Shared inputs, each as a DataFrame and as SQL.
+
+
+def literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct strings: page URLs, attribute values, words with a separator inside, and part names."""
+    page = table(spark, sf_dir, "pages")
+    every = [
+        page.select(F.col("url").alias("v")),
+        page.select(F.explode(F.regexp_extract_all("html", F.lit('"([^"<>]+)"'), F.lit(1))).alias("v")),
+        table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_-]+[=:/.@][A-Za-z0-9_=:/.@-]+"), F.lit(0))).alias("v")),
+        table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit('"([0-9A-Za-z]+)"'), F.lit(1))).alias("v")),
+        table(spark, sf_dir, "part").select(F.col("p_name").alias("v")),
+    ]
+    out = every[0]
+    for more in every[1:]:
+        out = out.union(more)
+    return out.distinct()
+
+
+LITERALS = r"""literals AS (
+  SELECT DISTINCT v FROM (
+    SELECT url AS v FROM pages
+    UNION ALL SELECT unnest(regexp_extract_all(html, '"([^"<>]+)"', 1)) FROM pages
+    UNION ALL SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9_-]+[=:/.@][A-Za-z0-9_=:/.@-]+', 0)) FROM documents
+    UNION ALL SELECT unnest(regexp_extract_all(text, '"([0-9A-Za-z]+)"', 1)) FROM documents
+    UNION ALL SELECT p_name FROM part))"""
+IS_URL = r"regexp_matches(lower(v), '^(?:https?|wss?)://')"
+IS_PATH = rf"((starts_with(v, '/') AND length(v) > 1) OR (contains(v, '/') AND NOT {IS_URL}))"
+IS_HOST = r"(length(v) BETWEEN 3 AND 255 AND NOT regexp_matches(v, '[/@]') AND regexp_matches(split_part(v, ':', 1), '^[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+\z'))"
+IS_MIME = r"(length(v) <= 80 AND regexp_matches(v, '(?i)^[a-z0-9][a-z0-9!#$&^_.+-]*/[a-z0-9][a-z0-9!#$&^_.+-]*\z'))"
+EXT = r"CASE WHEN length(v) >= 3 THEN nullif('.' || regexp_extract(list_extract(string_split(split_part(split_part(v, '?', 1), '#', 1), '/'), -1), '\.([A-Za-z0-9]{1,8})\z', 1), '.') END"
+B64 = r"regexp_matches(v, '^[A-Za-z0-9+/=_-]{20,}\z')"
+HEX = r"regexp_matches(v, '^[0-9a-fA-F]{20,}\z')"
+SPACE = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+BROKEN = rf"regexp_matches(v, '[{SPACE}<>{{}}\[\]]')"
+UUID = r"regexp_matches(v, '^[a-fA-F0-9]{8}(?:-[a-fA-F0-9]{4}){3}-[a-fA-F0-9]{12}\z')"
+JWT = r"regexp_matches(v, '^[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{6,}\z')"
+ENTROPY = "list_sum(list_transform(list_distinct(string_split(v, '')), lambda c: -((length(v) - length(replace(v, c, ''))) / length(v)::DOUBLE) * log2((length(v) - length(replace(v, c, ''))) / length(v)::DOUBLE)))"
+REASON = rf"""CASE WHEN length(v) < 20 THEN NULL
+  WHEN regexp_matches(v, '^(?:AKIA|AIza|ghp_|sk_|pk_|xoxb-|xoxp-)') THEN 'known-prefix' WHEN {JWT} THEN 'jwt'
+  WHEN {UUID} OR {BROKEN} OR (({IS_URL} OR {IS_PATH} OR {IS_HOST} OR ({EXT}) IS NOT NULL) AND NOT ({B64} OR {HEX})) THEN NULL
+  WHEN {B64} OR {HEX} THEN CASE WHEN length(v) >= 24 AND {ENTROPY} >= 3.6 THEN 'high-entropy' END
+  WHEN length(v) > 40 AND regexp_matches(v, '^[A-Za-z0-9._$-]+\z') AND {ENTROPY} >= 4.0 THEN 'high-entropy' END"""
+TRIMMED = rf"regexp_replace(v, '^[{SPACE}]+|[{SPACE}]+\z', '', 'g')"
+IS_CSS = rf"(regexp_matches({TRIMMED}, '^[.#\[:]') OR regexp_matches({TRIMMED}, '\[[^\]]+\]') OR regexp_matches({TRIMMED}, '[:.#][A-Za-z]'))"
+IS_DATA = rf"(length(v) BETWEEN 4 AND 80 AND NOT {IS_CSS} AND regexp_matches(v, '^[A-Za-z0-9 _:.\\-]+\z') AND regexp_matches(v, '[A-Za-z]'))"
+SEGMENTS = r"list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(v, '^([^?]*)\?', '\1/'), '^([^&]*)&', '\1/'), '^([^=]*)=', '\1/'), '/'), lambda s: s <> '')"
+
+
+def event_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as findings: a user's day is an asset, the event's type the bucket, its payload the label."""
+    e = table(spark, sf_dir, "events")
+    bucket = F.create_map(*(F.lit(x) for kv in {"click": "endpoints", "view": "sinks", "error": "user_sinks", "purchase": "secrets", "signup": "signatures"}.items() for x in kv))
+    day = F.date_format("ts", "yyyy-MM-dd")
+    k = F.get_json_object("props", "$.k")
+    return e.select(
+        F.concat_ws(":", F.lit("js"), F.col("user_id").cast("string"), day).alias("asset_id"),
+        F.col("event_id").alias("pos"),
+        F.concat(F.lit("https://app.example/u/"), F.col("user_id").cast("string")).alias("url"),
+        day.alias("timestamp"),
+        F.coalesce(bucket[F.col("event_type")], F.lit("paths")).alias("bucket"),
+        F.concat(F.lit("/api/v"), F.pmod("user_id", F.lit(3)).cast("string"), F.lit("/item/"), k).alias("label"),
+        F.lit(None).cast("string").alias("detail"),
+        F.when(F.pmod("event_id", F.lit(4)) == 0, F.create_map(F.lit("auth"), F.lit("Authorization"))).alias("meta"),
+        F.concat(F.lit("/cap/"), F.col("user_id").cast("string"), F.lit("/"), day, F.lit(".js")).alias("file_path"),
+    )
+
+
+def event_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_findings(spark, sf_dir).groupBy("asset_id", "url", "timestamp", "file_path").agg(F.min("pos").alias("pos"))
+
+
+EVENTS = r"""f AS (
+  SELECT 'js:' || user_id || ':' || strftime(ts, '%Y-%m-%d') AS asset_id, event_id AS pos, 'https://app.example/u/' || user_id AS url, strftime(ts, '%Y-%m-%d') AS ts,
+    CASE event_type WHEN 'click' THEN 'endpoints' WHEN 'view' THEN 'sinks' WHEN 'error' THEN 'user_sinks' WHEN 'purchase' THEN 'secrets' WHEN 'signup' THEN 'signatures' ELSE 'paths' END AS bucket,
+    '/api/v' || (user_id % 3) || '/item/' || json_extract_string(props, '$.k') AS label, CASE WHEN event_id % 4 = 0 THEN 'Authorization' ELSE 'none' END AS auth,
+    '/cap/' || user_id || '/' || strftime(ts, '%Y-%m-%d') || '.js' AS file_path
+  FROM events),
+a AS (SELECT asset_id, url, ts, file_path, min(pos) AS pos FROM f GROUP BY ALL),
+c AS (SELECT a.asset_id, a.pos, a.url AS label, count(*) FILTER (bucket = 'endpoints') AS endpoints, count(*) FILTER (bucket = 'sinks') AS sinks,
+    count(*) FILTER (bucket = 'user_sinks') AS user_sinks, count(*) FILTER (bucket = 'secrets') AS secrets, count(*) FILTER (bucket = 'signatures') AS signatures
+  FROM a LEFT JOIN f USING (asset_id) GROUP BY 1, 2, 3),
+cov AS (SELECT *, endpoints + sinks + user_sinks + secrets + signatures AS total FROM c),
+v AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY ts DESC, pos DESC) AS nth FROM a),
+n AS (SELECT * FROM f SEMI JOIN (SELECT asset_id FROM v WHERE nth = 1) USING (asset_id)),
+o AS (SELECT * FROM f SEMI JOIN (SELECT asset_id FROM v WHERE nth = 2) USING (asset_id)),
+two AS (SELECT url, max(ts) FILTER (nth = 2) AS from_timestamp, max(ts) FILTER (nth = 1) AS to_timestamp FROM v WHERE nth <= 2 GROUP BY 1 HAVING count(*) = 2),
+added AS (SELECT n.*, from_timestamp, to_timestamp FROM n JOIN two USING (url) WHERE bucket IN ('endpoints', 'sinks', 'user_sinks', 'secrets', 'paths', 'urls')
+  AND NOT EXISTS (SELECT 1 FROM o WHERE o.url = n.url AND o.bucket = n.bucket AND o.label = n.label)),
+d AS (SELECT url, from_timestamp, to_timestamp, count(*) FILTER (bucket = 'endpoints') AS added_endpoints, count(*) FILTER (bucket = 'sinks') AS added_sinks, count(*) FILTER (bucket = 'user_sinks') AS added_user_sinks,
+    count(*) FILTER (bucket = 'secrets') AS added_secrets, count(*) FILTER (bucket = 'paths') AS added_paths, count(*) FILTER (bucket = 'urls') AS added_urls FROM added GROUP BY 1, 2, 3)"""
+
+
+def event_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select(
+        F.col("event_id").alias("capture_id"),
+        F.concat(F.lit("https://cdn.example/static/"), F.col("event_type"), F.lit(".js")).alias("url"),
+        F.when(F.pmod("event_id", F.lit(7)) == 0, "POST").otherwise("GET").alias("method"),
+        F.lit(200).alias("status_code"),
+        F.lit("application/javascript").alias("content_type"),
+        F.when(F.pmod("event_id", F.lit(5)) == 0, "").otherwise(F.concat(F.lit("https://app.example/p/"), F.pmod("user_id", F.lit(9)).cast("string"))).alias("referer"),
+        F.lit("cdn.example").alias("host"),
+        F.concat(F.lit("/static/"), F.col("event_type"), F.lit(".js")).alias("path"),
+        F.concat(F.lit("var a = "), F.pmod("user_id", F.lit(40)).cast("string"), F.lit("; let t = '"), F.col("event_type"), F.lit("';")).cast("binary").alias("body"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"),
+    )
+
+
+CAPTURES = r"""cap AS (
+  SELECT event_id AS capture_id, 'https://cdn.example/static/' || event_type || '.js' AS url, CASE WHEN event_id % 7 = 0 THEN 'POST' ELSE 'GET' END AS method,
+    CASE WHEN event_id % 5 = 0 THEN '' ELSE 'https://app.example/p/' || (user_id % 9) END AS referer, '/static/' || event_type || '.js' AS path,
+    'js:' || sha256('var a = ' || (user_id % 40) || '; let t = ''' || event_type || ''';') AS asset_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS ts FROM events)"""
+
+
+# Pages.
+
+
+@query(r"""
+SELECT lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host, count(*) AS pages, sum(len(regexp_extract_all(html, '(?i)<script[^>]+src=["'']([^"'']+)["'']', 1)))::BIGINT AS external_scripts,
+  sum(len(regexp_extract_all(html, '(?i)<script[^>]*>')) - len(list_filter(regexp_extract_all(html, '(?i)<script[^>]*>'), lambda t: regexp_matches(t, '(?i)<script[^>]+src='))))::BIGINT AS inline_scripts,
+  count(DISTINCT '/' || array_to_string(list_filter(string_split(regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '[?#].*$', ''), '/'), lambda s: s <> '')[1:2], '/')) AS base_paths
+FROM pages GROUP BY 1""")
+def pages_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per host: pages, external scripts, inline scripts, distinct base paths."""
+    rows = table(spark, sf_dir, "pages").select(F.lower(F.try_parse_url("url", F.lit("HOST"))).alias("host"), F.size(C.script_sources(F.col("html"))).alias("e"), C.inline_scripts(F.col("html")).alias("i"), T.base_path(F.col("url")).alias("b"))
+    return rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.sum("e").alias("external_scripts"), F.sum("i").alias("inline_scripts"), F.count_distinct("b").alias("base_paths"))
+
+
+@query(r"""
+SELECT page_id, CASE WHEN regexp_matches(lower(html), '<!doctype html|<html') OR (contains(lower(html[1:10000]), '<head') AND contains(lower(html[1:10000]), '<body')) THEN 'html' END AS asset_type,
+  sha256(html) AS sha256, string_split(regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '[?#].*$', ''), '/')[-1] AS original_filename FROM pages""")
+def page_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as captures without a content type: classified by their bodies, hashed and named."""
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", F.lit("GET").alias("method"), F.lit(None).cast("string").alias("content_type"), F.col("html").cast("binary").alias("body"))
+    return C.derive(C.classify(rows)).select("page_id", "asset_type", "sha256", "original_filename")
+
+
+@query(r"""
+SELECT page_id, string_split(regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '[?#].*$', ''), '/')[-1] <> '' AS named,
+  trim(regexp_replace('GET_' || regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) || '_' || trim(regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '[?#].*$', ''), '/'), '[^A-Za-z0-9._-]+', '_', 'g'), '_')[1:80] AS slug FROM pages""")
+def page_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages")
+    return rows.select("page_id", (F.element_at(F.split(C.url_path(F.col("url")), "/"), -1) != "").alias("named"), C.slug(F.lit("GET"), F.col("url")).alias("slug"))
+
+
+@query(r"""SELECT unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href, count(*) AS pages FROM pages GROUP BY 1""")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select(F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href")).groupBy("href").agg(F.count(F.lit(1)).alias("pages"))
+
+
+@query(r"""SELECT DISTINCT regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || l.href AS resolved FROM pages, LATERAL (SELECT unnest(regexp_extract_all(html, 'href="(/[A-Za-z]*)"', 1)) AS href) l""")
+def resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rooted links as seen from their pages."""
+    rows = table(spark, sf_dir, "pages").select("url", F.explode(F.regexp_extract_all("html", F.lit('href="(/[A-Za-z]*)"'), F.lit(1))).alias("href"))
+    return rows.distinct().select(urls.resolve_url(F.col("url"), F.col("href")).alias("resolved")).distinct()
+
+
+# String classifiers.
+
+
+@query(rf"""WITH {LITERALS} SELECT v, {IS_URL} AS is_url, {IS_PATH} AS is_path, {IS_HOST} AS is_hostname, {IS_MIME} AS is_mime, {EXT} AS extension, regexp_matches(v, '^[A-Za-z0-9_-]{{3,64}}\z') AS is_word,
+  {B64} AS is_base64ish, {HEX} AS is_hexish, {JWT} AS is_jwt, {UUID} AS is_uuid, {IS_CSS} AS is_css, {IS_DATA} AS is_data FROM literals""")
+def literal_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("v")
+    found = {
+        "is_url": T.is_url(v), "is_path": T.is_path(v), "is_hostname": T.is_hostname(v), "is_mime": T.is_mime(v), "extension": T.extension(v), "is_word": T.is_word(v), "is_base64ish": T.is_base64ish(v),
+        "is_hexish": T.is_hexish(v), "is_jwt": T.is_jwt(v), "is_uuid": T.is_uuid(v), "is_css": T.is_css_selector(v), "is_data": T.is_data(v),
+    }
+    return literals(spark, sf_dir).withColumns(found)
+
+
+@query(rf"""WITH {LITERALS} SELECT v, array_to_string({SEGMENTS}, '|') AS segments, array_to_string(list_filter({SEGMENTS}, lambda s: regexp_matches(s, '^[A-Za-z0-9_-]{{3,64}}\z')), '|') AS words,
+  array_to_string(CASE WHEN contains(v, '?') THEN list_filter(list_transform(string_split(regexp_replace(v, '^[^?]*\?', ''), '&'), lambda p: split_part(p, '=', 1)), lambda p: p <> '') ELSE [] END, '|') AS params FROM literals""")
+def literal_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("v")
+    return literals(spark, sf_dir).select("v", *(F.array_join(c, "|").alias(n) for n, c in (("segments", T.path_segments(v)), ("words", T.path_words(v)), ("params", T.query_params(v)))))
+
+
+@query(rf"""WITH {LITERALS} SELECT v, {REASON} AS reason, length(v) >= 12 AND NOT {BROKEN} AND NOT ({IS_URL} OR {IS_PATH} OR {IS_HOST} OR {IS_MIME} OR ({EXT}) IS NOT NULL) AND regexp_matches(v, '^[A-Za-z0-9._+$\-/=?]+\z') AS sensitive
+  FROM literals""")
+def literal_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return literals(spark, sf_dir).select("v", T.secret_reason(F.col("v")).alias("reason"), T.is_sensitive_literal(F.col("v")).alias("sensitive"))
+
+
+@query(rf"""WITH {LITERALS} SELECT v, round({ENTROPY}, 6) AS entropy FROM literals WHERE length(v) BETWEEN 1 AND 200 AND regexp_matches(v, '^[\x20-\x7E]+\z')""")
+def literal_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = literals(spark, sf_dir).filter(F.length("v").between(1, 200) & F.col("v").rlike(r"^[\x20-\x7E]+\z"))
+    return rows.select("v", F.round(T.entropy(F.col("v")), 6).alias("entropy"))
+
+
+@query(rf"""WITH {LITERALS} SELECT v, CASE WHEN length(v) > 120 THEN v[1:120] || '...' ELSE v END AS truncated,
+  CASE WHEN array_to_string(list_filter([CASE WHEN contains(v, '?') THEN 'query' END, CASE WHEN contains(v, '#') THEN 'fragment' END, CASE WHEN contains(lower(v), 'api') THEN 'api' END], lambda x: x IS NOT NULL), ',') = '' THEN 'simple'
+    ELSE array_to_string(list_filter([CASE WHEN contains(v, '?') THEN 'query' END, CASE WHEN contains(v, '#') THEN 'fragment' END, CASE WHEN contains(lower(v), 'api') THEN 'api' END], lambda x: x IS NOT NULL), ',') END AS path_type,
+  regexp_matches(lower(v), 'secret|token|apikey|api_key|api-key|password|passwd|auth|bearer') AS secret_name,
+  lower(v) NOT IN ('featureflags','feature_flags','feature-toggles','flags','toggles','experiments','variants','rollouts') AND length(lower(v)) BETWEEN 3 AND 80 AND regexp_matches(lower(v), 'feature|flag|toggle|experiment|variant|rollout|abtest|ab_test|switch|^ff_') AS flag_name,
+  regexp_matches(lower(v), 'feature|flag|toggle|experiment|variant|rollout|abtest|ab_test|switch') OR regexp_matches(lower(v), '(?:\.|_)ff_[a-z0-9_]+') AS flag_path,
+  CASE WHEN regexp_matches(v, '[,"\n]') THEN '"' || replace(v, '"', '""') || '"' ELSE v END AS csv FROM literals""")
+def literal_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("v")
+    return literals(spark, sf_dir).select("v", T.truncated(v).alias("truncated"), T.path_type(v).alias("path_type"), T.is_secret_name(v).alias("secret_name"), T.is_flag_name(v).alias("flag_name"), T.is_flag_path(v).alias("flag_path"), T.csv_field(v).alias("csv"))
+
+
+@query(rf"""WITH g AS (SELECT conv_id, turn, lower(regexp_replace(regexp_replace(text, '[{SPACE}]+', ' ', 'g'), '^ | $', '', 'g')) AS t FROM conversations)
+SELECT conv_id, turn, CASE WHEN starts_with(t, 'query') OR contains(t, ' query ') THEN 'graphql:query' WHEN starts_with(t, 'mutation') OR contains(t, ' mutation ') THEN 'graphql:mutation'
+  WHEN starts_with(t, 'subscription') OR contains(t, ' subscription ') THEN 'graphql:subscription' WHEN contains(t, '{{') AND contains(t, '}}') AND contains(t, '__typename') THEN 'graphql:fragment' END AS graphql FROM g""")
+def conversation_graphql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.graphql(F.col("text")).alias("graphql"))
+
+
+@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{r.id}' AS rule FROM documents WHERE regexp_matches(text, '(?i){r.pattern}')" for r in DEFAULTS) + ")")
+def signature_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Default rules over documents: a predicate for each rule, in one pass."""
+    hits = F.array_compact(F.array(*(F.when(F.col("text").rlike(r.java), F.lit(r.id)) for r in DEFAULTS)))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(hits).alias("rule"))
+
+
+@query(rf"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:token|password|secret)\s*=\s*"?([A-Za-z0-9]+)"?', 1)) AS v FROM documents), r AS (SELECT doc_id, v, {REASON} AS reason FROM t)
+SELECT doc_id, count(*) AS n, count(reason) AS secrets, CASE WHEN 6 * count(reason) >= 25 THEN 'critical' WHEN 6 * count(reason) >= 15 THEN 'high' WHEN 6 * count(reason) >= 8 THEN 'medium' ELSE 'low' END AS severity FROM r GROUP BY 1""")
+def document_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assigned values in documents, which of them are secrets, and how severe that is."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r'(?:token|password|secret)\s*=\s*"?([A-Za-z0-9]+)"?'), F.lit(1))).alias("v"))
+    rows = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count(T.secret_reason(F.col("v"))).alias("secrets"))
+    return rows.withColumn("severity", R.severity(6 * F.col("secrets")))
+
+
+# Captures.
+
+
+@query(rf"""WITH {CAPTURES} SELECT asset_id, arg_min(url, (ts, capture_id)) AS url, arg_min(method, (ts, capture_id)) AS method, coalesce(arg_max(referer, (ts, capture_id)) FILTER (referer <> ''), '') AS referer,
+  min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS seen_count FROM cap GROUP BY 1""")
+def capture_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = C.upsert(C.derive(C.classify(event_captures(spark, sf_dir))))
+    return rows.select("asset_id", "url", "method", "referer", "first_seen", "last_seen", "seen_count")
+
+
+@query(rf"""WITH {CAPTURES} SELECT asset_id, method || '|' || url || '|' || referer AS key, method, url, referer, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS count FROM cap GROUP BY ALL""")
+def capture_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = C.observations(C.derive(C.classify(event_captures(spark, sf_dir))))
+    return rows.select("asset_id", "key", "method", "url", "referer", "first_seen", "last_seen", "count")
+
+
+@query(rf"""WITH {CAPTURES}, w AS (SELECT *, min((ts, capture_id)) OVER (PARTITION BY asset_id) = (ts, capture_id) AS alone FROM cap)
+SELECT asset_id, CASE WHEN NOT alone THEN method || '|' || url || '|' || referer END AS key, method, url, referer, count(*) AS count FROM w GROUP BY asset_id, alone, method, url, referer""")
+def capture_observations_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, with a first row that has no key."""
+    config = EngineConfig(quirks=T.OBSERVED)
+    return C.observations(C.derive(C.classify(event_captures(spark, sf_dir), config), config), T.OBSERVED).select("asset_id", "key", "method", "url", "referer", "count")
+
+
+@query(rf"""WITH {CAPTURES}, s AS (SELECT asset_id, arg_min(url, (ts, capture_id)) AS url FROM cap GROUP BY 1), r AS (SELECT DISTINCT referer AS route, asset_id FROM cap WHERE referer <> '')
+SELECT route, count(*) AS assets, count(DISTINCT url) AS urls FROM r JOIN s USING (asset_id) GROUP BY 1""")
+def route_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assets of each page that asked for them."""
+    assets = C.index(event_captures(spark, sf_dir)).withColumn("pos", F.xxhash64("asset_id"))
+    return R.routes(assets).groupBy("route").agg(F.count(F.lit(1)).alias("assets"), F.count_distinct("url").alias("urls"))
+
+
+# Roll-ups.
+
+
+@query(rf"WITH {EVENTS} SELECT asset_id, pos, label, endpoints, sinks, user_sinks, secrets, signatures, total FROM cov")
+def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.coverage(event_assets(spark, sf_dir), event_findings(spark, sf_dir))
+
+
+@query(rf"WITH {EVENTS} SELECT count(*) AS assets, sum(endpoints)::BIGINT AS endpoints, sum(sinks)::BIGINT AS sinks, sum(user_sinks)::BIGINT AS user_sinks, sum(secrets)::BIGINT AS secrets, sum(signatures)::BIGINT AS signatures, sum(total)::BIGINT AS total FROM cov")
+def coverage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.coverage_totals(coverage(spark, sf_dir))
+
+
+@query(rf"""WITH {EVENTS}, s AS (SELECT *, endpoints + 2 * sinks + 5 * user_sinks + 6 * secrets + signatures + CASE WHEN secrets > 0 AND user_sinks > 0 THEN 10 ELSE 0 END + CASE WHEN user_sinks > 0 AND endpoints > 0 THEN 5 ELSE 0 END AS score FROM cov WHERE total > 0),
+p AS (SELECT url, arg_min(file_path, pos) AS file_path FROM a GROUP BY 1)
+SELECT asset_id, label AS url, score, CASE WHEN score >= 25 THEN 'critical' WHEN score >= 15 THEN 'high' WHEN score >= 8 THEN 'medium' ELSE 'low' END AS severity,
+  array_to_string(list_filter([CASE WHEN secrets > 0 THEN 'secrets' END, CASE WHEN user_sinks > 0 THEN 'user-controlled sinks' END, CASE WHEN sinks > 0 THEN 'sinks' END, CASE WHEN endpoints > 0 THEN 'endpoints' END,
+    CASE WHEN signatures > 0 THEN 'signature matches' END, CASE WHEN secrets > 0 AND user_sinks > 0 THEN 'secret + user sink' END, CASE WHEN user_sinks > 0 AND endpoints > 0 THEN 'user sink + endpoint' END], lambda x: x IS NOT NULL), ';') AS reasons, p.file_path
+FROM s JOIN p ON p.url = s.label""")
+def triage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = R.triage(coverage(spark, sf_dir), event_assets(spark, sf_dir))
+    return rows.select("asset_id", "url", "score", "severity", F.array_join("reasons", ";").alias("reasons"), "file_path")
+
+
+@query(rf"WITH {EVENTS} SELECT * FROM d")
+def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.drift(event_assets(spark, sf_dir), event_findings(spark, sf_dir))
+
+
+@query(rf"""WITH {EVENTS} SELECT url, CASE WHEN added_secrets > 0 AND added_user_sinks > 0 THEN 'critical' WHEN added_secrets > 0 OR added_user_sinks > 0 THEN 'high' WHEN added_sinks > 0 AND added_endpoints > 0 THEN 'medium' ELSE 'low' END AS severity,
+  'New findings for ' || url AS summary, array_to_string(list_filter([CASE WHEN added_secrets > 0 THEN 'New secrets: ' || added_secrets END, CASE WHEN added_user_sinks > 0 THEN 'New user sinks: ' || added_user_sinks END,
+  CASE WHEN added_sinks > 0 THEN 'New sinks: ' || added_sinks END, CASE WHEN added_endpoints > 0 THEN 'New endpoints: ' || added_endpoints END], lambda x: x IS NOT NULL), ';') AS details
+FROM d WHERE added_secrets + added_user_sinks + added_sinks + added_endpoints > 0""")
+def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.alerts(drift(spark, sf_dir)).withColumn("details", F.array_join("details", ";"))
+
+
+@query(rf"""WITH {EVENTS} SELECT '/' || array_to_string(list_filter(string_split(label, '/'), lambda s: s <> '')[1:2], '/') AS base_path, auth, count(*) AS endpoints FROM f WHERE bucket = 'endpoints' GROUP BY 1, 2""")
+def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.clusters(event_findings(spark, sf_dir))
+
+
+@query(rf"WITH {EVENTS} SELECT bucket, count(*) AS n FROM f GROUP BY 1")
+def view_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.view_counts(event_findings(spark, sf_dir))
+
+
+@query(r"""SELECT DISTINCT w AS word FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9_-]+', 0)) AS w FROM documents) WHERE length(w) BETWEEN 3 AND 64""")
+def wordlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_-]+"), F.lit(0))).alias("word"))
+    return R.wordlist(rows.filter(T.is_word(F.col("word"))))
+
+
+# Programs: inline scripts, parsed once; SQL can't express these.
+
+
+def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit("(?is)<script[^>]*>(.*?)</script>"), F.lit(1))).alias("n", "source"))
+    return rows.select(F.concat_ws(":", F.lit("js"), F.sha2("source", 256), "page_id", "n").alias("asset_id"), F.col("page_id").alias("pos"), F.col("url").alias("file_path"), "source")
+
+
+@query(r"""SELECT page_id, count(*) AS assignments FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<script[^>]*>var t="([^"]*)";', 1)) AS v FROM pages) WHERE v IS NOT NULL GROUP BY 1""")
+def script_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """String literals that inline scripts hold, by page."""
+    found = FA.facts(scripts(spark, sf_dir)).filter("what = 'literal'")
+    return found.groupBy(F.col("pos").alias("page_id")).agg(F.count(F.lit(1)).alias("assignments"))
+
+
+@query()
+def script_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FI.findings(FA.facts(scripts(spark, sf_dir)), rules=list(DEFAULTS)).drop("meta")
+
+
+@query(r"""SELECT '<top>' AS caller, unnest(regexp_extract_all(html, '<script>var t="[^"]*";(\w+)\(', 1)) AS callee, count(*) AS edges FROM pages GROUP BY 1, 2""")
+def script_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FI.call_graph(FA.facts(scripts(spark, sf_dir))).groupBy("caller", "callee").agg(F.count(F.lit(1)).alias("edges"))
