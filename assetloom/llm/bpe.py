@@ -33,16 +33,15 @@ class Bpe:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.tokens = {i: t for t, i in self.ranks.items()}
         self.named = {b"%d" % i: t for i, t in self.tokens.items()}
-        self.pieces = Pieces(regex.compile(pattern).findall, lambda piece: b",".join(b"%d" % i for i in self.encode_piece(piece.encode())), b",")
+        self.digits = {t: b"%d" % i for t, i in self.ranks.items()}
+        self.pieces = Pieces(regex.compile(pattern).findall, lambda piece: b",".join(self._spell(piece.encode(), self.digits)), b",")
 
-    def encode_piece(self, piece: bytes) -> list[int]:
-        """The ids of one piece: merges the leftmost pair of least rank until no pair has a rank."""
-        rank = self.ranks.get
-        if (whole := rank(piece)) is not None:
-            return [whole]
-        n = len(piece)
+    def _cuts(self, piece: bytes) -> list[int]:
+        """Where each byte's token ends, valid at the bytes that start one: merges the leftmost pair of least rank until no pair has a rank."""
+        rank, n = self.ranks.get, len(piece)
+        after = list(range(1, n + 1))
         if n < 2:
-            return [self.ranks[piece[i : i + 1]] for i in range(n)]
+            return after
         size = 1 << (n - 2).bit_length() if n > 2 else 1
         shift, none = size.bit_length(), 1 << 62
         at_mask = (1 << shift) - 1
@@ -52,9 +51,9 @@ class Bpe:
             if r is not None:
                 tree[size + i] = r << shift | i
         for i in range(size - 1, 0, -1):
-            a, b = tree[2 * i], tree[2 * i + 1]
-            tree[i] = a if a < b else b
-        after, before = list(range(1, n + 1)), list(range(-1, n))
+            x, y = tree[2 * i], tree[2 * i + 1]
+            tree[i] = x if x < y else y
+        before = list(range(-1, n))
 
         while (best := tree[1]) < none:
             i = best & at_mask
@@ -62,29 +61,43 @@ class Bpe:
             k = after[i] = after[j]
             before[k] = i
             r = rank(piece[i : after[k]]) if k < n else None
-            changed = [(i, none if r is None else r << shift | i)]
+            a = b = c = size + i
+            tree[a] = none if r is None else r << shift | i
             if j < n - 1:
-                changed.append((j, none))
+                b = size + j
+                tree[b] = none
             if i:
                 p = before[i]
                 r = rank(piece[p:k])
-                changed.append((p, none if r is None else r << shift | p))
-            for at, value in changed:
-                at += size
-                tree[at] = value
-                while at > 1:
-                    sibling = tree[at ^ 1]
-                    if sibling < value:
-                        value = sibling
-                    at >>= 1
-                    if tree[at] == value:
-                        break
-                    tree[at] = value
-        ids, i = [], 0
-        while i < n:
-            ids.append(self.ranks[piece[i : after[i]]])
+                c = size + p
+                tree[c] = none if r is None else r << shift | p
+            # The three paths to the root soon become one.
+            a, b, c = a >> 1, b >> 1, c >> 1
+            while a:
+                x, y = tree[2 * a], tree[2 * a + 1]
+                tree[a] = x if x < y else y
+                if b != a:
+                    x, y = tree[2 * b], tree[2 * b + 1]
+                    tree[b] = x if x < y else y
+                if c != a:
+                    x, y = tree[2 * c], tree[2 * c + 1]
+                    tree[c] = x if x < y else y
+                a, b, c = a >> 1, b >> 1, c >> 1
+        return after
+
+    def _spell(self, piece: bytes, names: dict) -> list:
+        whole = names.get(piece)
+        if whole is not None:
+            return [whole]
+        after, out, i = self._cuts(piece), [], 0
+        while i < len(piece):
+            out.append(names[piece[i : after[i]]])
             i = after[i]
-        return ids
+        return out
+
+    def encode_piece(self, piece: bytes) -> list[int]:
+        """The ids of one match of the pattern."""
+        return self._spell(piece, self.ranks)
 
     def encode_joined(self, text: str) -> bytes:
         """Decimal ids of a text joined by commas."""

@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-#: Entries of each of a worker's two tables, and the length in characters of the longest key in them.
-CACHE, CACHED_CHARS = 250_000, 40
+#: Entries of a worker's table of words (that of matches has half as many), and the length in characters of the longest key.
+CACHE, CACHED_CHARS = 1_000_000, 40
 
 
 class _Memo(dict):
@@ -33,7 +33,7 @@ class Pieces:
 
     def __init__(self, split: Callable[[str], list[str]], encode: Callable[[str], bytes], sep: bytes, most: int = CACHE) -> None:
         self.split, self.sep = split, sep
-        self.pieces = _Memo(encode, most)
+        self.pieces = _Memo(encode, most // 2)
         self.spaced = _Memo(lambda word: self.matches(" " + word), most)
 
     def matches(self, text: str) -> bytes:
