@@ -1,6 +1,7 @@
 """Exact dedup by content sort, in DataFrame operations only.
 
-Sampled splitters range-partition the normalised bytes, the external sort inside each range places equal
+Sampled splitters range-partition the normalised bytes (by their first LEAD characters, then a hash, so that the
+sample which the driver draws the splitters from stays small), the external sort inside each range places equal
 texts side by side, and the window operator walks the sorted rows comparing each text in full with its
 neighbour; the smallest identifier of a run stays.
 
@@ -24,6 +25,8 @@ from assetloom.llm.common import materialise
 
 #: A text is hot when its copies exceed this fraction of an average range.
 SPLIT = 4
+#: Characters of a text in the key of the ranges.
+LEAD = 32
 
 
 def normalised(text: Column) -> Column:
@@ -51,8 +54,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     salted = base.join(F.broadcast(hot), "_hash", "left").withColumn(
         "_salt", F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.col("_salts"))).otherwise(F.lit(0)).cast("int")
     )
-    ranged = salted.repartitionByRange(F.col("_norm"), F.col("_salt"))
-    run = Window.partitionBy("_norm", "_salt")
+    ranged = salted.withColumn("_lead", F.substring("_norm", 1, LEAD)).repartitionByRange(F.col("_lead"), F.col("_hash"), F.col("_salt"))
+    run = Window.partitionBy("_norm", "_salt", "_lead", "_hash")
     ordered = run.orderBy(F.col("doc_id").asc_nulls_last())
     extra = ["row"] if carry else []
     runs = ranged.select(
