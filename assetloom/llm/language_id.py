@@ -154,7 +154,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """docs: doc_id, text, lang. Only learning rows are read."""
     rows = docs.filter(learning_rows(docs)).select("doc_id", "lang", "text")
     frequencies = rows.select("text").mapInArrow(_document_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect()  # BUCKETS + 1 rows
-    languages = tuple(sorted(r[0] for r in rows.select("lang").distinct().collect()))
+    sizes = dict(rows.groupBy("lang").count().collect())  # a row for each language
+    languages = tuple(sorted(sizes))
     if not languages:
         return Model((), np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
     df = np.zeros(BUCKETS + 1)
@@ -163,7 +164,11 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1.0
 
     each = max(8, sample // len(languages))
-    ranked = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("_at", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
+    # A cut of the hashes leaves about a quarter more rows of each language than are wanted, so that ranking them is a small task.
+    share = docs.sparkSession.createDataFrame([(k, min(1.0, 1.25 * (each + 50) / n)) for k, n in sizes.items()], "lang string, share double")
+    hashed = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).join(F.broadcast(share), "lang")
+    few = hashed.filter(F.pmod("h", F.lit(1 << 30)) <= F.col("share") * (1 << 30))
+    ranked = few.withColumn("_at", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
     picked = ranked.filter(F.col("_at") <= each).select("doc_id").distinct()
     own = rows.join(F.broadcast(picked), "doc_id", "left_semi").dropDuplicates(["doc_id"])  # ``sample`` ids, or 8 for each language
     found = sorted(own.select("lang", "text", "doc_id").select("lang", "text").mapInArrow(_counts, "lang string, at array<int>, tf array<float>").collect(), key=lambda r: (r[0], len(r[1]), r[1][:8]))
