@@ -25,6 +25,11 @@ MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\x0b\f\r"
 
 
+def once(value: Column) -> Column:
+    """The value, in a projection that filters aren't pushed below: copied into a filter, the nested arrays would be computed for each element."""
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def words(text: Column) -> Column:
     return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
 
@@ -97,7 +102,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     step = lambda acc, p: F.struct((p + WINDOW).alias("end"), (acc["n"] + (p + WINDOW - F.greatest(acc["end"], p))).alias("n"))
     covered = F.aggregate("_starts", zero, step, lambda acc: acc["n"])
-    return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_starts")
+    return df.withColumn("n_repeat_words", once(F.coalesce(covered, F.lit(0)).cast("long"))).drop("_starts")
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,6 +117,6 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     n = F.size("ws")
     llr = F.when(n > 0, total / (F.lit(2.0) * n - 1)).otherwise(F.lit(0.0))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    df = df.withColumn("base_failed", failed).withColumn("llr", llr)
+    df = df.withColumn("base_failed", failed).withColumn("llr", once(llr))
     kept = ~F.col("base_failed") & (F.col("llr") >= THRESHOLD)
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "llr")

@@ -173,7 +173,7 @@ def reshard(docs: DataFrame, shards: int, old: Column, id_col: str = "doc_id", t
 
 
 def rewrite(placed: DataFrame, path: str) -> list[int]:
-    """Writes the shards that changed, of a ``reshard(..., carry=True)``, as ``shard=<n>`` folders under ``path``; returns their numbers.
+    """Writes the shards that changed, of a ``reshard(..., carry=True)``, as ``new_shard=<n>`` folders under ``path``; returns their numbers.
 
     A shard is unchanged if one old shard gave all its rows and kept none back.
     """
@@ -185,6 +185,7 @@ def rewrite(placed: DataFrame, path: str) -> list[int]:
         sources.setdefault(j, set()).add(i)
         targets.setdefault(i, set()).add(j)
     changed = sorted(j for j, own in sources.items() if len(own) > 1 or len(targets[next(iter(own))]) > 1)
-    rows = placed.filter(F.col("shard").isin(changed)).select("row.*", "shard", "slot")
-    rows.repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    own = [F.col("row")[f.name].alias(f.name) for f in placed.schema["row"].dataType if f.name not in ("new_shard", "new_slot")]
+    rows = placed.filter(F.col("shard").isin(changed)).select(*own, F.col("shard").alias("new_shard"), F.col("slot").alias("new_slot"))
+    rows.repartition("new_shard", F.floor(F.col("new_slot") / 100_000)).sortWithinPartitions("new_shard", "new_slot").write.mode("overwrite").partitionBy("new_shard").parquet(path)
     return changed
