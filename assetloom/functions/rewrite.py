@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from assetloom.functions.js.beautify import Options, beautify
+
 
 @dataclass(frozen=True)
 class Unpacker:
@@ -139,6 +141,18 @@ def unpacked(source: pd.Series) -> pd.Series:
     return source.map(unpack)
 
 
+def beautified(options: Options = Options(indent_size=2)):
+    """Unpacking and pretty-printing as a vectorised function; the text itself where that fails."""
+
+    def one(text: str | None) -> str | None:
+        try:
+            return beautify(text, options, REGISTRY) if text else text
+        except Exception:  # a fault in one text is no reason to lose the others
+            return text
+
+    return F.pandas_udf(lambda s: s.map(one), StringType())
+
+
 def deobfuscator(function: Callable[[str], str | None]):
     """A user's function of one text as a vectorised one; empty results and faults are null."""
 

@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetloom.config import EngineConfig
+from assetloom.functions import text as T
+from assetloom.functions.rewrite import beautified
+from assetloom.operators import captures as C
 from assetloom.operators import facts as FA
 from assetloom.operators import findings as FI
 from assetloom.operators import rollups as R
@@ -45,6 +48,16 @@ class Engine:
         new = FA.facts(rows)
         return self.stored(new if known is None else new.unionByName(known.join(sources.select("asset_id").distinct(), "asset_id", "left_semi")), "facts")
 
+    def ingest(self, captures: DataFrame, scope: DataFrame | None = None) -> DataFrame:
+        """Captures to (asset_id, source, beautified): the code among them, laid out where it is minified or always is."""
+        rows = C.derive(C.classify(captures, self.config, scope), self.config).filter("asset_type = 'js'")
+        rows = rows.groupBy("asset_id").agg(F.first("body").alias("body"), F.first("minified").alias("minified"))
+        text = C.latin(F.col("body")) if self.config.quirks == T.OBSERVED else F.decode("body", "UTF-8")
+        wanted = F.lit(self.config.beautify) & (F.lit(self.config.always_beautify) | F.col("minified"))
+        rows = rows.select("asset_id", text.alias("source"), wanted.alias("_wanted"))
+        plain = rows.filter("NOT _wanted").select("asset_id", "source", F.lit(None).cast("string").alias("beautified"))
+        return plain.union(rows.filter("_wanted").select("asset_id", "source", beautified()(F.col("source"))))
+
     def version(self) -> str:
         """Names what facts depend on besides the text."""
         return hashlib.sha256(f"{ANALYSER}|{self.config.quirks}".encode()).hexdigest()[:12]

@@ -83,3 +83,14 @@ def test_snapshot_to_outputs(spark, tmp_path):
     assert "abcdefghij-1234" not in str(W.redacted(snap["findings"]).filter("bucket = 'secrets'").collect())
     W.write_tables(f"file://{tmp_path}/tables", {k: snap[k] for k in ("findings", "coverage")})
     assert spark.read.parquet(f"file://{tmp_path}/tables/findings").count() == snap["findings"].count()
+
+
+def test_ingestion_lays_out_minified_code(spark):
+    from assetloom.config import EngineConfig
+    from tests.test_captures import capture, frame
+
+    rows = frame(spark, [capture(1, "https://h/a.js", "a=1;" * 60), capture(2, "https://h/b.js", "b = 1;\nc = 2;")])
+    got = {r.source[0]: r.beautified for r in Engine(spark).ingest(rows).collect()}
+    assert got["a"].startswith("a = 1;\na = 1;") and got["b"] is None
+    got = {r.source[0]: r.beautified for r in Engine(spark, EngineConfig(always_beautify=True)).ingest(rows).collect()}
+    assert got["b"] == "b = 1;\nc = 2;"
