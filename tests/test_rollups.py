@@ -94,3 +94,20 @@ def test_ingestion_lays_out_minified_code(spark):
     assert got["a"].startswith("a = 1;\na = 1;") and got["b"] is None
     got = {r.source[0]: r.beautified for r in Engine(spark, EngineConfig(always_beautify=True)).ingest(rows).collect()}
     assert got["b"] == "b = 1;\nc = 2;"
+
+
+def test_views_and_table_functions(spark):
+    from assetloom.plans.views import assets_of_route, create_views, register_table_functions, views
+
+    a = assets(spark, [{"asset_id": "js:1", "pos": 0, "url": "u", "sha256": "x", "timestamp": "1", "asset_type": "js", "referer": "r"}])
+    code = ";".join(f"fetch('/api/{n:02d}')" for n in range(15))
+    snap = Engine(spark).snapshot(a, spark.createDataFrame([("js:1", 0, "/f.js", code)], "asset_id string, pos long, file_path string, source string"))
+    shown = views(snap)
+    assert [r.label for r in shown["top_endpoints"].collect()] == [f"/api/{n:02d}" for n in range(10)]
+    assert shown["words"].count() > 0 and shown["calls_by_caller"].first().edges == 15 and assets_of_route(snap, "r").count() == 1
+    create_views({"coverage": snap["coverage"]}, "t_")
+    assert spark.sql("SELECT endpoints FROM t_coverage").first()[0] == 15
+    register_table_functions(spark)
+    assert spark.sql("SELECT text FROM js_tokens('a = 1') ORDER BY ord").collect()[1].text == "="
+    rows = spark.sql("SELECT s.id, f.label FROM (SELECT 1 AS id, \"fetch('/x/y')\" AS src) s, LATERAL js_facts(s.src) f WHERE f.what = 'finding'").collect()
+    assert [(r.id, r.label) for r in rows] == [(1, "/x/y")]
