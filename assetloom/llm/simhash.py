@@ -218,8 +218,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     own = materialise(picked.mapInArrow(run, "doc_id long, fp long, h long"), "simhash-keys")
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("h"))).alias("f")
     stay = own.join(_classes(own.select("doc_id", "fp")).select("fp", "root"), "fp").groupBy("root").agg(first)
-    stay = stay.select(F.col("f.doc_id").alias("_id"), F.col("f.h").alias("_h")).distinct()
-    marked = docs.withColumn("_h", key).withColumn("_id", F.col(id_col).cast("long"))
-    kept = marked.join(stay.withColumnsRenamed({"_id": "_id2", "_h": "_h2"}), F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_h") == F.col("_h2")), "left_semi")
-    once = F.row_number().over(Window.partitionBy("_id", "_h").orderBy(F.lit(0)))
-    return kept.withColumn("_once", once).filter("_once = 1").select(*docs.columns)
+    stay = stay.select(F.coalesce("f.doc_id", F.lit(0)).alias("_id"), F.col("f.doc_id").isNull().alias("_none"), F.col("f.h").alias("_h")).distinct()
+    same = ["_id", "_none", "_h"]  # plain equalities: the window below needs no other exchange than the join
+    marked = docs.withColumns({"_h": key, "_id": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "_none": F.col(id_col).isNull()})
+    once = F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0)))
+    return marked.join(stay, same, "left_semi").withColumn("_once", once).filter("_once = 1").select(*docs.columns)
