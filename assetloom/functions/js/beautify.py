@@ -108,7 +108,7 @@ def tokenize(text: str) -> list[Token]:
         elif text.startswith("#!", at) and not out or text.startswith("//", at):
             kind, end = "line", re.compile("[\n\r\u2028\u2029]|\\Z").search(text, at).start()
         elif text.startswith("/*", at):
-            end = text.find("*/", at)
+            end = text.find("*/", at + 2)
             kind, end = "block", end + 2 if end >= 0 else len(text)
         elif m := _NAME.match(text, at):
             kind, end = "word", m.end()

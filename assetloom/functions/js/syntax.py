@@ -33,7 +33,7 @@ _BREAK = re.compile("[\n\r\u2028\u2029]")
 _LINE = re.compile("\r\n|[\n\r\u2028\u2029]")
 _PUNCT = re.compile(r">>>=|\.\.\.|\*\*=|<<=|>>=|>>>|===|!==|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|[{}()\[\];,<>+\-*/%&|^!~?:=.@#]")
 _STRING = {q: re.compile(rf"{q}(?:[^{q}\\\n\r]|\\(?:\r\n|[\s\S]))*{q}") for q in "'\""}
-_REGEX = re.compile(r"/((?:[^/\\\[\n\r\u2028\u2029]|\\[^\n\r\u2028\u2029]|\[(?:[^\]\\\n\r\u2028\u2029]|\\[^\n\r\u2028\u2029])*\])+)/([A-Za-z]*)")
+_REGEX = re.compile(r"/(?!\*)((?:[^/\\\[\n\r\u2028\u2029]|\\[^\n\r\u2028\u2029]|\[(?:[^\]\\\n\r\u2028\u2029]|\\[^\n\r\u2028\u2029])*\])+)/([A-Za-z]*)")
 _ESCAPE = re.compile(r"\\(?:u\{([0-9a-fA-F]+)\}|u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2})|([0-3]?[0-7]{1,2})|(\r\n|[\s\S]))")
 _SIMPLE = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f", "v": "\v", "\r\n": "", "\n": "", "\r": "", "\u2028": "", "\u2029": ""}
 _BINARY = {"??": 1, "||": 2, "&&": 3, "|": 4, "^": 5, "&": 6, **dict.fromkeys(("==", "!=", "===", "!=="), 7), **dict.fromkeys(("<", ">", "<=", ">=", "instanceof", "in"), 8), **dict.fromkeys(("<<", ">>", ">>>"), 9), "+": 10, "-": 10, "*": 11, "/": 11, "%": 11, "**": 12}
