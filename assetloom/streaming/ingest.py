@@ -104,3 +104,15 @@ def ingest(captures: DataFrame, folder: str, checkpoint: str, config: EngineConf
     sink = IndexSink(captures.sparkSession, folder, config)
     writer = captures.writeStream.foreachBatch(lambda batch, n: sink.write(batch, n)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=config.debounce)).start()
+
+
+def watch_index(spark: SparkSession, folder: str, changed, checkpoint: str, config: EngineConfig = EngineConfig(), once: bool = False) -> StreamingQuery:
+    """Calls ``changed`` with the assets of each index file that appears in a folder; files of one debounce interval come together.
+
+    Files are known by name, so each version of an index is a file of its own.
+    """
+    from assetloom.sources.index import parse_index
+
+    texts = spark.readStream.format("text").option("wholetext", "true").load(folder)
+    writer = texts.writeStream.foreachBatch(lambda batch, n: changed(parse_index(batch))).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=config.debounce)).start()

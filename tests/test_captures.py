@@ -130,3 +130,13 @@ def test_config(tmp_path):
     assert (got.heuristic_bytes, got.capture_html, got.redact_secrets) == (20, False, True)
     with pytest.raises(ValueError):
         EngineConfig(quirks="other")
+
+
+def test_watching_an_index(spark, tmp_path):
+    from assetloom.streaming.ingest import watch_index
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/1.json").write_text('[{"url": "u", "sha256": "x"}]')
+    seen = []
+    query = watch_index(spark, f"file://{tmp_path}/in", lambda assets: seen.extend(r.asset_id for r in assets.collect()), f"file://{tmp_path}/check", once=True)
+    assert query.awaitTermination(60) and seen == ["js:x"]
