@@ -1,8 +1,8 @@
 """Continuous ingestion: captures to an asset index that is merged batch by batch.
 
 The index is a set of mergeable states (first and last captures, counts), so merging two states is the same aggregation as building one, and batches give
-what one run over everything gives. Each batch writes a new version beside the old one and then a marker that names it; a batch that is
-repeated after a failure overwrites its own version.
+what one run over everything gives. A batch writes the states of its own captures and then a marker, so its cost doesn't grow with the index; a batch that is
+repeated after a failure overwrites its own files. Readers merge what was written since the last compaction, which every COMPACT-th batch does.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from assetloom.config import EngineConfig
 from assetloom.operators import captures as C
 
 FIRST = ("url", "method", "asset_type", "sha256", "base_name", "original_filename", "script_srcs", "inline_script_count", "sourcemap_ref", "minified", "chunk_candidates")
+COMPACT = 64
 KEPT = ("referer", "host", "path")
 LAST = ("status_code", "content_type")
 
@@ -33,9 +34,9 @@ def states(rows: DataFrame) -> DataFrame:
     )
 
 
-def merged(a: DataFrame, b: DataFrame) -> DataFrame:
-    """The states of both together."""
-    return a.unionByName(b).groupBy("asset_id").agg(
+def merged(found: DataFrame) -> DataFrame:
+    """States of several batches as one for each asset."""
+    return found.groupBy("asset_id").agg(
         F.min_by("head", "first_at").alias("head"),
         F.min("first_at").alias("first_at"),
         F.max("last_at").alias("last_at"),
@@ -54,49 +55,59 @@ def index_of(found: DataFrame) -> DataFrame:
     )
 
 
-def merged_observations(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Observations of both together, for those with keys."""
-    return a.unionByName(b).groupBy("asset_id", "key", "url", "method", "referer").agg(
+def merged_observations(found: DataFrame) -> DataFrame:
+    """Observations of several batches as one for each asset and key."""
+    return found.groupBy("asset_id", "key", "url", "method", "referer").agg(
         F.min("first_seen").alias("first_seen"), F.max_by("status_code", "last_seen").alias("status_code"), F.max_by("content_type", "last_seen").alias("content_type"), F.max("last_seen").alias("last_seen"), F.sum("count").alias("count")
     ).select("asset_id", "key", "url", "method", "referer", "first_seen", "last_seen", "count", "status_code", "content_type")
 
 
 class IndexSink:
-    """Versions of the two tables under a folder, and which of them holds."""
+    """The tables under a folder: ``<name>/base=<n>`` after a compaction, ``<name>/v=<n>`` for each batch since, and markers of what is complete."""
 
-    def __init__(self, spark: SparkSession, folder: str, config: EngineConfig = EngineConfig()) -> None:
-        self.spark, self.folder, self.config = spark, folder.rstrip("/"), config
+    def __init__(self, spark: SparkSession, folder: str, config: EngineConfig = EngineConfig(), compact: int = COMPACT) -> None:
+        self.spark, self.folder, self.config, self.every = spark, folder.rstrip("/"), config, compact
 
-    def version(self) -> int | None:
-        """The latest committed version."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/done")
+    def _marks(self, kind: str) -> list[int]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}")
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return None
-        return max((int(s.getPath().getName()) for s in fs.listStatus(path)), default=None)
+        return sorted(int(s.getPath().getName()) for s in fs.listStatus(path)) if fs.exists(path) else []
+
+    def _mark(self, kind: str, n: int) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}/{n}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(path, True).close()
 
-    def table(self, name: str, version: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}/v={version}")
+    def version(self) -> int | None:
+        """The latest complete batch."""
+        return max(self._marks("done"), default=None)
+
+    def table(self, name: str) -> DataFrame:
+        base = max(self._marks("compacted"), default=None)
+        paths = [] if base is None else [f"{self.folder}/{name}/base={base}"]
+        paths += [f"{self.folder}/{name}/v={n}" for n in self._marks("done") if base is None or n > base]
+        return self.spark.read.parquet(*paths)
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
-        """Merges a batch into the version before it."""
+        if batch_id in self._marks("done"):
+            return  # complete before a restart
         rows = C.derive(C.classify(batch, self.config), self.config)
-        new, seen, last = states(rows), C.observations(rows), self.version()
-        if last is not None and last >= batch_id:
-            return  # committed before a restart
-        if last is not None:
-            new, seen = merged(self.table("states", last), new), merged_observations(self.table("observations", last), seen)
-        new.write.mode("overwrite").parquet(f"{self.folder}/states/v={batch_id}")
-        seen.write.mode("overwrite").parquet(f"{self.folder}/observations/v={batch_id}")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/done/{batch_id}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(path, True).close()
+        states(rows).write.mode("overwrite").parquet(f"{self.folder}/states/v={batch_id}")
+        C.observations(rows).write.mode("overwrite").parquet(f"{self.folder}/observations/v={batch_id}")
+        self._mark("done", batch_id)
+        if (batch_id + 1) % self.every == 0:
+            self.compact(batch_id)
+
+    def compact(self, batch_id: int) -> None:
+        """Merges everything up to a batch into new base files; the old ones stay for readers that have begun."""
+        merged(self.table("states")).write.mode("overwrite").parquet(f"{self.folder}/states/base={batch_id}")
+        merged_observations(self.table("observations")).write.mode("overwrite").parquet(f"{self.folder}/observations/base={batch_id}")
+        self._mark("compacted", batch_id)
 
     def index(self) -> DataFrame:
-        return index_of(self.table("states", self.version()))
+        return index_of(merged(self.table("states")))
 
     def observations(self) -> DataFrame:
-        return self.table("observations", self.version())
+        return merged_observations(self.table("observations"))
 
 
 def ingest(captures: DataFrame, folder: str, checkpoint: str, config: EngineConfig = EngineConfig(), once: bool = False) -> StreamingQuery:

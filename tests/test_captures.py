@@ -72,7 +72,8 @@ def random_captures(spark, n=120):
     return [capture(i, f"https://h/{rng.randrange(4)}.js", f"var a = {rng.randrange(6)}; let b", "application/javascript", f"2024-01-01T00:{rng.randrange(60):02d}:00Z", rng.choice(["GET", "POST"]), rng.choice(["", None, "p", "q"])) for i in range(n)]
 
 
-def test_stream_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("compacted", [False, True])
+def test_stream_equals_batch(spark, tmp_path, compacted):
     rows = random_captures(spark)
     source, out = tmp_path / "in", tmp_path / "out"
     for k in range(3):
@@ -82,6 +83,9 @@ def test_stream_equals_batch(spark, tmp_path):
     assert query.awaitTermination(120)
     batch = C.derive(C.classify(frame(spark, rows)))
     sink, want = IndexSink(spark, f"file://{out}"), C.upsert(batch)
+    if compacted:
+        sink.compact(2)
+        assert {p.name for p in (out / "compacted").glob("[0-9]*")} == {"2"}
     assert sink.version() == 2
     assert sorted(map(str, sink.index().select(*sorted(want.columns)).collect())) == sorted(map(str, want.select(*sorted(want.columns)).collect()))
     columns = ["asset_id", "key", "first_seen", "last_seen", "count"]
@@ -91,7 +95,7 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_merging_is_order_free(spark):
     rows = C.derive(C.classify(frame(spark, random_captures(spark))))
     a, b = states(rows.filter("capture_id % 2 = 0")), states(rows.filter("capture_id % 2 = 1"))
-    one, two = (sorted(map(str, index_of(merged(*p)).collect())) for p in ((a, b), (b, a)))
+    one, two = (sorted(map(str, index_of(merged(x.unionByName(y))).collect())) for x, y in ((a, b), (b, a)))
     assert one == two == sorted(map(str, index_of(states(rows)).collect()))
 
 
