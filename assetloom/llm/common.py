@@ -52,3 +52,10 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+
+
+def slices(batches, rows: int = 256):
+    """Arrow batches cut to at most so many rows, so that a worker holds few texts as Python strings at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetloom.llm.common import crc_fold
+from assetloom.llm.common import crc_fold, slices
 
 BITS, SAMPLE, EPOCHS = 16, 4000, 3
 BUCKETS = 1 << BITS
@@ -201,7 +201,7 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.5, text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             found = [own.predict(t.as_py()) for t in batch.column(at)]
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
 
