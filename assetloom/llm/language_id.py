@@ -101,9 +101,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column(1):
             found = np.concatenate([*buckets(text.as_py()), np.zeros(0, np.uint32)])
             ids, count = np.unique(found, return_counts=True)
-            at.append(ids.astype(np.int32))
-            n.append((count / max(1, len(found))).astype(np.float32))
-        yield pa.record_batch([batch.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.float32()))], names=["lang", "at", "tf"])
+            at.append(ids.astype("<i4").tobytes())
+            n.append((count / max(1, len(found))).astype("<f4").tobytes())
+        yield pa.record_batch([batch.column(0), pa.array(at, pa.binary()), pa.array(n, pa.binary())], names=["lang", "at", "tf"])
 
 
 def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
@@ -171,8 +171,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     ranked = few.withColumn("_at", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
     picked = ranked.filter(F.col("_at") <= each).select("doc_id").distinct()
     own = rows.join(F.broadcast(picked), "doc_id", "left_semi").dropDuplicates(["doc_id"])  # ``sample`` ids, or 8 for each language
-    found = sorted(own.select("lang", "text", "doc_id").select("lang", "text").mapInArrow(_counts, "lang string, at array<int>, tf array<float>").collect(), key=lambda r: (r[0], len(r[1]), r[1][:8]))
-    data = [(np.array(at, np.int64), SCALE * np.array(tf) * idf[np.array(at, np.int64)], languages.index(lang)) for lang, at, tf in found if at]
+    found = sorted(own.select("lang", "text", "doc_id").select("lang", "text").mapInArrow(_counts, "lang string, at binary, tf binary").collect(), key=lambda r: (r[0], len(r[1]), bytes(r[1])))
+    pairs = [(np.frombuffer(at, "<i4"), np.frombuffer(tf, "<f4"), languages.index(lang)) for lang, at, tf in found if at]
+    data = [(at, (SCALE * tf * idf[at]).astype(np.float32), y) for at, tf, y in pairs]
     held = [r for i, r in enumerate(data) if i % 5 == 0]
     weights, bias = ftrl([r for i, r in enumerate(data) if i % 5], len(languages))
     logits = np.array([x @ weights[at] + bias for at, x, _ in held]).reshape(len(held), len(languages))
