@@ -115,7 +115,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [features(t.as_py()) for t in batch.column(1)]
         yield pa.record_batch(
-            [batch.column(0), batch.column(2), pa.array([a.astype(np.int32) for a, _ in found], pa.list_(pa.int32())), pa.array([x.astype(np.float32) for _, x in found], pa.list_(pa.float32()))],
+            [batch.column(0), batch.column(2), pa.array([a.astype("<i4").tobytes() for a, _ in found], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in found], pa.binary())],
             names=["doc_id", "y", "at", "x"],
         )
 
@@ -126,8 +126,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     own = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y").dropDuplicates(["doc_id"])  # ``sample`` rows
-    found = own.mapInArrow(_features, "doc_id long, y int, at array<int>, x array<float>").collect()
-    rows = [(np.array(r["at"], np.int64), np.array(r["x"], np.float64), int(r["y"])) for r in sorted(found, key=lambda r: r["doc_id"])]
+    found = own.mapInArrow(_features, "doc_id long, y int, at binary, x binary").collect()
+    rows = [(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["x"], "<f4"), int(r["y"])) for r in sorted(found, key=lambda r: r["doc_id"])]
     return fit(rows)
 
 
