@@ -171,3 +171,28 @@ def test_winnowed_seeds_are_shared_by_any_long_common_run():
     for _ in range(30):
         a, b = (np.concatenate([rng.integers(0, 2**63, rng.integers(0, 40), dtype=np.uint64), common, rng.integers(0, 2**63, rng.integers(0, 40), dtype=np.uint64)]) for _ in range(2))
         assert set(substring_dedup.seeds(a)[0]) & set(substring_dedup.seeds(b)[0])
+
+
+def test_passages_built_from_shared_lines_are_found(spark):
+    rng = random.Random(12)
+    stock = [words(rng, 10) for _ in range(7)]
+    passage = sum(stock, [])
+    rows = [(100 + i, " ".join(words(rng, 30) + passage + words(rng, 30))) for i in range(2)]
+    # Every 5-mer of the passage is also in an earlier and a later row: pairs of its lines, and each seam, go round in rows of their own.
+    for k in range(len(passage) - 4):
+        rows += [(i, " ".join(words(rng, 20) + passage[k : k + 5] + words(rng, 20))) for i in (k, 1000 + k)]
+    # One partition in this order, so that those rows hold each seed's first and last place.
+    docs = frame(spark, sorted(rows)).coalesce(1).sortWithinPartitions("doc_id")
+    got = {(r.doc_id, r.start_word, r.end_word, r.partner_id) for r in substring_dedup.passages(docs).collect()}
+    assert got == {(100, 30, 100, 101), (101, 30, 100, 100)}
+
+
+def test_no_window_that_two_rows_share_is_ruled_out():
+    rng = random.Random(13)
+    for _ in range(200):
+        window = [rng.randrange(rng.choice([2, 5, 60000])) for _ in range(substring_dedup.MIN_WORDS)]
+        sides = [np.array([rng.randrange(6) for _ in range(40)] + window + [rng.randrange(6) for _ in range(40)], np.uint16) for _ in range(2)]
+        found = [substring_dedup.seeds(s.astype(np.uint64)) for s in sides]
+        for side, (mers, places), (others, _) in zip(sides, found, found[::-1]):
+            assert 40 in substring_dedup.candidates(side, places[np.isin(mers, others)])
+            assert substring_dedup.window_hashes(side)[40] == substring_dedup.window_hashes(sides[0])[40]
