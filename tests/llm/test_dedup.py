@@ -196,3 +196,24 @@ def test_no_window_that_two_rows_share_is_ruled_out():
         for side, (mers, places), (others, _) in zip(sides, found, found[::-1]):
             assert 40 in substring_dedup.candidates(side, places[np.isin(mers, others)])
             assert substring_dedup.window_hashes(side)[40] == substring_dedup.window_hashes(sides[0])[40]
+
+
+@pytest.mark.parametrize("n, edits", [(60, [10, 49]), (60, [8, 51]), (60, [12]), (60, [14, 29, 44]), (80, [*range(9, 80, 10)])])
+def test_fuzzy_passages_near_the_limit_are_found(n, edits):
+    rng = np.random.default_rng(1)
+    draw = lambda k: rng.integers(0, 1 << 16, k).astype(np.uint16)
+    found = 0
+    for _ in range(100):
+        passage = draw(n)
+        changed = passage.copy()
+        changed[edits] ^= 1
+        a, b = np.concatenate([draw(100), passage, draw(100)]), np.concatenate([draw(130), changed, draw(80)])
+        (mers, places), (others, far) = (substring_dedup.seeds(x.astype(np.uint64)) for x in (a, b))
+        at = dict(zip(others.tolist(), far.tolist()))
+        hits = [(p, at[m]) for m, p in zip(mers.tolist(), places.tolist()) if m in at]
+        longest = 0
+        for s, e, fs, fe, _ in substring_dedup.chains(*np.array(hits).T) if len(hits) > 1 else []:
+            left, right, same, *_ = substring_dedup.align(a, b, (s, fs), (len(a) - e, len(b) - fe))
+            longest = max(longest, e + right - s + left) if same >= substring_dedup.SIMILARITY else longest
+        found += longest >= substring_dedup.MIN_WORDS
+    assert found >= 98
