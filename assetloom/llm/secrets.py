@@ -114,15 +114,16 @@ def literal_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and all spans: a literal that a base span touches adds nothing."""
+    """Base spans, and all spans: a literal that lies within one base span adds nothing."""
     base = base_spans(text)
     added = []
     if ":" in text or "=" in text:
-        covered, at = sorted((s, e) for s, _, e in base), 0
-        for start, kind, end in sorted(literal_spans(text)):
-            while at < len(covered) and covered[at][1] <= start:
+        reach, at = -1, 0  # the furthest end of the base spans that start no later
+        for start, end, kind in sorted((s, e, k) for s, k, e in literal_spans(text)):
+            while at < len(base) and base[at][0] <= start:
+                reach = max(reach, base[at][2])
                 at += 1
-            if at == len(covered) or covered[at][0] >= end:
+            if reach < end:
                 added.append((start, kind, end))
     return base, sorted(base + added)
 

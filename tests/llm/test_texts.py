@@ -189,3 +189,12 @@ def test_rewriting_only_what_changed(spark, tmp_path):
     placed = sharding.reshard(docs, 3, F.pmod("doc_id", F.lit(2)), carry=True)
     changed = sharding.rewrite(placed, f"file://{tmp_path}/out")
     assert 2 in changed and spark.read.parquet(f"file://{tmp_path}/out").count() > 0
+
+
+def test_a_literal_beyond_its_base_span_is_redacted_whole():
+    for text in ('password = "Hunter2!Secret$99"', 'api_key: "AKIA' + "B" * 16 + '!tail#77"', 'signing_key = "' + "0a" * 12 + '-Zx9!qW7"'):
+        found = secrets.spans(text)[1]
+        value = text[text.index('"') + 1 : -1]
+        assert (text.index(value), 3, text.index(value) + len(value)) in found
+        assert not set(secrets.redacted(text, found).replace("<secret>", "").rpartition('"')[0]) & set("!$#")
+    assert secrets.spans('token = "abcdef123456"')[1] == [(0, 0, 21)]
