@@ -7,7 +7,8 @@ literal counts for every name that it reaches. A literal is a secret if the prod
 best name that it reaches and its own likeness to a credential is high enough.
 
 Defined results: a null text has no spans; spans are in code points, end exclusive. Repeated rows give repeated results. Other
-columns are ignored. A text is read whole; the work is linear in it, as each operator looks at a bounded stretch on its left and a value on its right.
+columns are ignored. A text is read whole, and literals and sums of any length with it; each operator looks at a bounded stretch on its left and a value on its right. The work
+is linear in the text, but for operators inside of one long bare word or sum, which each read the rest of it.
 """
 
 from __future__ import annotations
@@ -32,8 +33,11 @@ _HEX = re.compile("[0-9a-f]{24,}")
 _OPERATOR = re.compile(r":=|=>|[:=]")
 _NAME_LEFT = re.compile(r"([A-Za-z_$][\w$.-]*)[\"'\]]{0,2}[ \t]*\Z", re.ASCII)
 _LEFT = 96  # characters to the left of an operator in which its name starts
-_TERM = re.compile(r"""[ \t]*(?:(?P<q>["'`])(?P<s>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q)|(?P<w>[^\s"'`,;(){}\[\]<>+]+))""")
-_PLUS = re.compile(r"[ \t]*\+")
+_TERM = re.compile(r"""\s*(?:(?P<q>["'`])(?P<s>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q)|(?P<w>[^\s"'`,;(){}\[\]<>+]+))""")
+_PLUS = re.compile(r"\s*\+")
+#: A term on a later line that is the name of an assignment of its own, or ends in a colon, isn't a value.
+_NAMES = re.compile(r"[\w$.-]+(?::|=(?!=*\Z))", re.ASCII)
+_ASSIGNED = re.compile(r"[ \t]*(?::=|=>|:|=(?!=))")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 #: How much a part of a name says that its value is secret.
 _SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.7, "bearer": 0.8, "private": 0.6, "signing": 0.7, "encryption": 0.7, "key": 0.6, "salt": 0.5, "dsn": 0.6}
@@ -65,7 +69,7 @@ def name_weight(name: str) -> float:
 
 def literal_weight(value: str, quoted: bool) -> float:
     """0 to 1: how much a literal looks like a credential."""
-    if len(value) < 6 or len(value) > 4096 or any(c.isspace() for c in value) or _PLACEHOLDER.search(value):
+    if len(value) < 6 or any(c.isspace() for c in value) or _PLACEHOLDER.search(value):
         return 0.0
     counts = Counter(value)
     entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
@@ -75,9 +79,29 @@ def literal_weight(value: str, quoted: bool) -> float:
     return min(1.0, entropy / 3.0) * (1.0 if kinds >= 2 else 0.7)
 
 
-def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int, str, bool]]]]:
-    """(name, literals that reach it: start, end, value, quoted) for each assignment, constants propagated."""
-    bound: dict[str, list[tuple[int, int, str, bool]]] = {}
+def terms(text: str, at: int) -> Iterator[re.Match]:
+    """The terms of the sum that starts at ``at``; it goes on over line breaks after an operator and around a plus."""
+    while term := _TERM.match(text, at):
+        start = term.start("s") - 1 if term["q"] else term.start("w")
+        if "\n" in text[at:start] or "\r" in text[at:start]:
+            if _ASSIGNED.match(text, term.end()) or not term["q"] and _NAMES.match(term["w"]):
+                return
+        yield term
+        if not (plus := _PLUS.match(text, term.end())):
+            return
+        at = plus.end()
+
+
+def literal_spans(text: str) -> list[tuple[int, int, int]]:
+    """Spans that the lexer adds.
+
+    Each assignment is a node with the literals of its sum and the nodes of the names in it, which are all earlier; so one
+    pass from the last node to the first takes the weight of the most sensitive name to all that reaches it.
+    """
+    bound: dict[str, int] = {}
+    weights: list[float] = []
+    own: list[list[tuple[int, int, bool]]] = []
+    earlier: list[set[int]] = []
     for op in _OPERATOR.finditer(text):
         after = text[op.end() : op.end() + 1]
         if after in ("=", "/") or text[op.start() - 1 : op.start()] in ("=", "!", "<", ">"):
@@ -85,32 +109,27 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int, str, bool]]]]:
         left = _NAME_LEFT.search(text[max(0, op.start() - _LEFT) : op.start()])
         if not left:
             continue
-        at, reach = op.end(), []
-        while term := _TERM.match(text, at):
-            at = term.end()
+        literals, names = [], set()
+        for term in terms(text, op.end()):
             if term["q"]:
-                reach.append((term.start("s"), term.end("s"), term["s"], True))
-            elif known := bound.get(term["w"]):
-                reach += known
+                literals.append((term.start("s"), term.end("s"), True))
+            elif (known := bound.get(term["w"])) is not None:
+                names.add(known)
             else:
-                reach.append((term.start("w"), term.end("w"), term["w"], False))
-            if len(reach) >= 16 or not (plus := _PLUS.match(text, at)):
-                break
-            at = plus.end()
-        if reach:
-            bound[left[1]] = reach
-            yield left[1], reach
-
-
-def literal_spans(text: str) -> list[tuple[int, int, int]]:
-    """Spans that the lexer adds."""
-    best: dict[tuple[int, int], float] = {}
-    for name, reach in pairs(text):
-        weight = name_weight(name)
-        for start, end, value, quoted in reach if weight else ():
-            score = weight * literal_weight(value, quoted)
-            best[start, end] = max(score, best.get((start, end), 0.0))
-    return [(start, 3, end) for (start, end), score in best.items() if score >= THRESHOLD]
+                literals.append((term.start("w"), term.end("w"), False))
+        if literals or names:
+            bound[left[1]] = len(weights)
+            weights.append(name_weight(left[1]))
+            own.append(literals)
+            earlier.append(names)
+    best: dict[tuple[int, int, bool], float] = {}
+    for n in range(len(weights) - 1, -1, -1):
+        if weights[n]:
+            for k in earlier[n]:
+                weights[k] = max(weights[k], weights[n])
+            for literal in own[n]:
+                best[literal] = max(weights[n], best.get(literal, 0.0))
+    return sorted({(s, 3, e) for (s, e, quoted), weight in best.items() if weight >= THRESHOLD and weight * literal_weight(text[s:e], quoted) >= THRESHOLD})
 
 
 def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

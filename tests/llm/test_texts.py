@@ -198,3 +198,17 @@ def test_a_literal_beyond_its_base_span_is_redacted_whole():
         assert (text.index(value), 3, text.index(value) + len(value)) in found
         assert not set(secrets.redacted(text, found).replace("<secret>", "").rpartition('"')[0]) & set("!$#")
     assert secrets.spans('token = "abcdef123456"')[1] == [(0, 0, 21)]
+
+
+def test_long_literals_long_sums_and_later_lines_are_read():
+    found = lambda text: [text[s:e] for s, k, e in secrets.spans(text)[1] if secrets.KINDS[k] == "literal"]
+    rng = random.Random(5)
+    draw = lambda n: "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZghijklmnopqrstuvwxyz234567") for _ in range(n))
+    long, parts = draw(6000), [draw(12) for _ in range(40)]
+    assert found(f'private_key_credential = "{long}"') == [long]
+    assert found("signing_passphrase = " + " + ".join(f'"{p}"' for p in parts)) == parts
+    assert found("credential =\n  " + "\n  + ".join(f'"{p}"' for p in parts[:3])) == parts[:3]
+    assert found("credential = " + " +\n  ".join(f'"{p}"' for p in parts[:3])) == parts[:3]
+    chain = f'a0 = "{parts[0]}"\n' + "".join(f"a{n + 1} = a{n} + a{n}\n" for n in range(60)) + "dsn_credential = a60"
+    assert found(chain) == [parts[0]]
+    assert found("credentials:\n  name2: plain\n") == [] and found("AUTH_CREDENTIAL=\nOTHER_VALUE1=abc") == []
