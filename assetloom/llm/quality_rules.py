@@ -1,12 +1,12 @@
 """Quality rules in DataFrame operations only: base counts, and a hashed n-gram log-likelihood ratio.
 
 Words and word pairs are hashed to BUCKETS buckets each. Two multinomials are counted over them: the raw corpus (every document) and a trusted
-target (documents labelled good, at most TARGET_DOCS of them, those of the least hashed ids). A document's score is the mean of
+target (every document labelled good). A document's score is the mean of
 log(target / raw) over its n-grams, so it doesn't depend on length, and every document is held against one
-fixed threshold. A bucket's ratio is shrunk by SMOOTHING expected occurrences: words too rare to tell are neutral, and text that the target
-avoids is dropped.
+fixed threshold. A bucket's ratio is shrunk by SMOOTHING times the occurrences that the target has of a bucket on average, so that it doesn't depend on the size
+of the corpus: words too rare to tell are neutral, and text that the target avoids is dropped.
 
-Counting explodes words to rows that are aggregated before the shuffle (at most 2 * BUCKETS rows a task). Scoring
+Labels and texts are joined by id over one exchange. Counting explodes words to rows that are aggregated before the shuffle (at most 2 * BUCKETS rows a task). Scoring
 has no shuffle: the ratios are a literal of fixed size, looked up within the row.
 
 Defined results: a null text has no words and fails the base rule. Repeated rows give repeated results. Without labels, or without
@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS, TARGET_DOCS, SMOOTHING, THRESHOLD = 1 << 15, 20_000, 30.0, -0.2
+BUCKETS, SMOOTHING, THRESHOLD = 1 << 15, 0.5, -0.2
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\x0b\f\r"
 
@@ -53,16 +53,16 @@ def _windows(width: int) -> Column:
     return F.arrays_zip("ws", *(F.slice("ws", k + 1, F.size("ws")).alias(f"w{k}") for k in range(1, width)))
 
 
-def target_ids(labels: DataFrame, most: int = TARGET_DOCS) -> DataFrame:
-    """Ids of the trusted target: at most ``most``, by least hash."""
-    good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def target_ids(labels: DataFrame) -> DataFrame:
+    """Ids of the trusted target, each once."""
+    return labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
 
 
 def ratios(docs: DataFrame, target: DataFrame) -> list[float]:
-    """log(target / raw) of each bucket, words first and then pairs; docs: (doc_id, ws)."""
+    """log(target / raw) of each bucket, words first and then pairs; docs: (doc_id, text)."""
     mark = target.select("doc_id", F.lit(1).alias("_good"))
-    marked = docs.join(F.broadcast(mark), "doc_id", "left").select(F.coalesce("_good", F.lit(0)).alias("_good"), "ws")  # TARGET_DOCS rows at most
+    # The ids grow with the input and are never broadcast by us; hashed, so that texts aren't sorted.
+    marked = docs.join(mark.hint("shuffle_hash"), "doc_id", "left").select(F.coalesce("_good", F.lit(0)).alias("_good"), words(F.col("text")).alias("ws"))
     one = marked.select("_good", F.explode("ws").alias("w")).select("_good", _word_bucket(F.col("w")).alias("b"))
     two = marked.select("_good", F.explode(_windows(2)).alias("p")).filter("p.w1 IS NOT NULL").select("_good", _pair_bucket(F.col("p.ws"), F.col("p.w1")).alias("b"))
     found = one.union(two).groupBy("b").agg(F.count(F.lit(1)), F.sum("_good")).collect()  # 2 * BUCKETS rows at most
@@ -73,7 +73,8 @@ def ratios(docs: DataFrame, target: DataFrame) -> list[float]:
     for half in (slice(0, BUCKETS), slice(BUCKETS, 2 * BUCKETS)):
         r, g = raw[half], good[half]
         part = sum(g) / max(1, sum(r))  # what the target would have of a bucket if it were like the corpus
-        out += [round(math.log((y + SMOOTHING) / (x * part + SMOOTHING)), 4) for x, y in zip(r, g, strict=True)]
+        shrink = SMOOTHING * sum(g) / BUCKETS or 1.0  # without a target, any
+        out += [round(math.log((y + shrink) / (x * part + shrink)), 4) for x, y in zip(r, g, strict=True)]
     return out
 
 
@@ -108,7 +109,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, the five counts, base_failed, kept, llr."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    table = ratios(own.select("doc_id", words(F.col("text")).alias("ws")), target_ids(labels))
+    table = ratios(own, target_ids(labels))
     ratio = F.split(F.lit(",".join(map(str, table))), ",").cast("array<double>")  # folded to a literal
     df = base_counts(own)
     look = lambda at: F.get(ratio, at)

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from assetloom.llm import factorisation, language_id, quality_rules
 from assetloom.llm.common import table
@@ -108,3 +109,20 @@ def test_quality_verdicts_follow_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert quality_rules.quality(docs, none).filter("NOT base_failed AND NOT kept").count() == 0
     assert quality_rules.quality(frame(spark, []), none).count() == 0
+
+
+def test_every_good_document_is_in_the_target(spark):
+    docs = spark.range(50_000).selectExpr("id AS doc_id", "concat('all w', id % 7, ' x', id % 11) AS text")
+    labels = docs.selectExpr("doc_id", "1 AS quality")
+    assert quality_rules.target_ids(labels).count() == 50_000
+    assert {r.llr for r in quality_rules.quality(docs, labels).select("llr").distinct().collect()} == {0.0}
+
+
+def test_verdicts_do_not_depend_on_the_size_of_the_corpus(spark):
+    docs, labels = (table(spark, SF, t) for t in ("documents", "labels"))
+    found = []
+    for copies in (1, 3):
+        more = lambda df: df.crossJoin(spark.range(copies)).withColumn("doc_id", F.col("doc_id") * 3 + F.col("id")).drop("id")  # noqa: E731, B023
+        rows = quality_rules.quality(more(docs), more(labels)).filter("doc_id % 3 = 0").collect()
+        found.append({r.doc_id: (r.kept, round(r.llr, 3)) for r in rows})
+    assert found[0] == found[1]
