@@ -199,6 +199,13 @@ def resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.distinct().select(urls.resolve_url(F.col("url"), F.col("href")).alias("resolved")).distinct()
 
 
+@query()
+def resolved_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every href as seen from its page; resolution has no SQL, ``resolved_links`` is the part that SQL can follow."""
+    rows = table(spark, sf_dir, "pages").select("url", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href")).distinct()
+    return rows.select("url", "href", urls.resolve_url(F.col("url"), F.col("href")).alias("resolved"))
+
+
 # String classifiers.
 
 
@@ -232,6 +239,12 @@ def literal_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("v", F.round(T.entropy(F.col("v")), 6).alias("entropy"))
 
 
+@query()
+def literal_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entropy of every literal; lengths count UTF-16 units, and ``literal_entropy`` is the part that SQL can follow."""
+    return literals(spark, sf_dir).select("v", F.round(T.entropy(F.col("v")), 6).alias("entropy"))
+
+
 @query(rf"""WITH {LITERALS} SELECT v, CASE WHEN length(v) > 120 THEN v[1:120] || '...' ELSE v END AS truncated,
   CASE WHEN array_to_string(list_filter([CASE WHEN contains(v, '?') THEN 'query' END, CASE WHEN contains(v, '#') THEN 'fragment' END, CASE WHEN contains(lower(v), 'api') THEN 'api' END], lambda x: x IS NOT NULL), ',') = '' THEN 'simple'
     ELSE array_to_string(list_filter([CASE WHEN contains(v, '?') THEN 'query' END, CASE WHEN contains(v, '#') THEN 'fragment' END, CASE WHEN contains(lower(v), 'api') THEN 'api' END], lambda x: x IS NOT NULL), ',') END AS path_type,
