@@ -1,8 +1,8 @@
 """Minimum-cost-flow resharding: from the sizes of old shards and the capacities of new ones to the transfers that move the fewest bytes.
 
-Rows of an old shard are dealt to blocks by a hash, and only the blocks' sizes (at most MAX_BLOCKS of them) come to the driver. There a flow from
+Rows of an old shard are dealt to blocks by a hash, and only the blocks' sizes (at most MAX_BLOCKS of them, or one for each old shard if those are more) come to the driver. There a flow from
 old shards (their bytes) to new shards (equal capacities) is solved by successive shortest paths; a byte costs nothing where its old
-shard lives on as the new one, else one. The flow of an old shard cuts its rows, in the order of their blocks, into one run for each new
+shard lives on as the new one, else one. Old shards that don't live on cost the same everywhere: they are one source, whose flow is then split among them. The flow of an old shard cuts its rows, in the order of their blocks, into one run for each new
 shard. The few rows on a cut, and the smallest row of each block, are placed last, each where most room is left, which evens
 the shards out to about a row. Slots are ranks within a block plus the block's offset in its shard, so no task sees a whole shard.
 
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from assetloom.llm.common import materialise
 
-#: More old shards than this are taken together by a hash of their names; each has MAX_BLOCKS / MAX_OLD blocks at least.
-MAX_OLD, MAX_BLOCKS, BLOCKS = 512, 32768, 64
+#: Of an old shard's blocks: how many there are in all, and of one shard, at most; each shard has one at least.
+MAX_BLOCKS, BLOCKS = 32768, 64
 ROW_BYTES = 8
 
 
@@ -91,6 +91,26 @@ def homes(sizes: list[int], shards: int) -> dict[int, int]:
     return home
 
 
+def transfers(sizes: list[int], capacity: list[int]) -> dict[tuple[int, int], int]:
+    """The cheapest flow from old to new shards, where only `homes` live on; any number of old shards."""
+    home = homes(sizes, len(capacity))
+    kept = sorted(home)
+    rest = [i for i in range(len(sizes)) if i not in home]
+    found = min_cost_flow([sizes[i] for i in kept] + [sum(sizes[i] for i in rest)], capacity, lambda a, j: int(a == len(kept) or home[kept[a]] != j))
+    flow = {(kept[a], j): n for (a, j), n in found.items() if a < len(kept)}
+    room = [[j, n] for (a, j), n in sorted(found.items()) if a == len(kept)]
+    for i in rest:
+        left = sizes[i]
+        while left:
+            n = min(left, room[0][1])
+            flow[i, room[0][0]] = n
+            left -= n
+            room[0][1] -= n
+            if not room[0][1]:
+                room.pop(0)
+    return flow
+
+
 def reshard(docs: DataFrame, shards: int, old: Column, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, old_shard, shard, slot (and ``row``, the whole input row, with ``carry``). old: the name of a row's old shard."""
     spark = docs.sparkSession
@@ -105,22 +125,19 @@ def reshard(docs: DataFrame, shards: int, old: Column, id_col: str = "doc_id", t
     )
     base = materialise(base, "reshard-rows")
 
-    names = [r[0] for r in base.select("_name").distinct().limit(MAX_OLD + 1).collect()]
-    if len(names) <= MAX_OLD:
-        numbered = spark.createDataFrame([(n, i) for i, n in enumerate(sorted(names))], "_name string, old_shard int")
-        base = base.join(F.broadcast(numbered), "_name")  # MAX_OLD rows at most
-    else:
-        base = base.withColumn("old_shard", F.pmod(F.xxhash64("_name"), F.lit(MAX_OLD)).cast("int"))
-    base = base.drop("_name").withColumn("_block", F.pmod(F.xxhash64("doc_id", "text_crc32", F.monotonically_increasing_id()), F.lit(BLOCKS)).cast("int"))
+    names = [r[0] for r in base.select("_name").distinct().collect()]
+    blocks = max(1, min(BLOCKS, MAX_BLOCKS // max(1, len(names))))
+    numbered = spark.createDataFrame([(n, i) for i, n in enumerate(sorted(names))], "_name string, old_shard int")
+    base = base.join(F.broadcast(numbered), "_name")  # a row for each old shard
+    base = base.drop("_name").withColumn("_block", F.pmod(F.xxhash64("doc_id", "text_crc32", F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
 
-    sums = base.groupBy("old_shard", "_block").agg(F.sum("size").alias("bytes")).collect()  # MAX_BLOCKS rows at most
+    sums = base.groupBy("old_shard", "_block").agg(F.sum("size").alias("bytes")).collect()  # a row for each block
     by_block = {(r[0], r[1]): r[2] for r in sums}
     olds = 1 + max((i for i, _ in by_block), default=-1)
-    sizes = [sum(by_block.get((i, b), 0) for b in range(BLOCKS)) for i in range(olds)]
+    sizes = [sum(by_block.get((i, b), 0) for b in range(blocks)) for i in range(olds)]
     total = sum(sizes)
     capacity = [total // shards + (j < total % shards) for j in range(shards)]
-    home = homes(sizes, shards)
-    flow = min_cost_flow(sizes, capacity, lambda i, j: int(home.get(i) != j))
+    flow = transfers(sizes, capacity)
 
     runs, starts = [], []
     for i in range(olds):
@@ -131,7 +148,7 @@ def reshard(docs: DataFrame, shards: int, old: Column, id_col: str = "doc_id", t
                 ends.append(at)
                 to.append(j)
         begin = 0
-        for b in range(BLOCKS):
+        for b in range(blocks):
             if (i, b) in by_block:
                 starts.append((i, b, begin, ends, to))
                 begin += by_block[i, b]
@@ -139,7 +156,7 @@ def reshard(docs: DataFrame, shards: int, old: Column, id_col: str = "doc_id", t
     cuts = spark.createDataFrame(starts, "old_shard int, _block int, _begin long, _ends array<long>, _to array<int>")
     inside = Window.partitionBy("old_shard", "_block").orderBy("size", "doc_id", "text_crc32")
     placed = base.withColumns({"_end": F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)), "_at": F.row_number().over(inside)})
-    placed = placed.join(F.broadcast(cuts), ["old_shard", "_block"])  # MAX_BLOCKS rows at most
+    placed = placed.join(F.broadcast(cuts), ["old_shard", "_block"])  # a row for each block
     end = F.col("_begin") + F.col("_end")
     nth = F.size(F.filter("_ends", lambda e: e <= F.col("_start")))
     placed = placed.withColumn("_start", end - F.col("size")).withColumn("_nth", nth)
@@ -147,7 +164,7 @@ def reshard(docs: DataFrame, shards: int, old: Column, id_col: str = "doc_id", t
     placed = placed.withColumn("shard", F.when(~cut, F.element_at("_to", F.col("_nth") + 1))).select("doc_id", "size", "text_crc32", "old_shard", "_block", "_at", "shard", *extra)
     placed = materialise(placed, "reshard-placed")
 
-    # Rows on cuts and the smallest of each block: at most MAX_BLOCKS and the number of cuts.
+    # Rows on cuts and the smallest of each block: at most the number of blocks and that of cuts.
     loose = placed.filter("shard IS NULL").select("size", "old_shard", "_block", "_at").collect()
     filled = {r[0]: r[1] for r in placed.filter("shard IS NOT NULL").groupBy("shard").agg(F.sum("size")).collect()}
     heap = [(filled.get(j, 0) - capacity[j], j) for j in range(shards)]

@@ -212,3 +212,25 @@ def test_long_literals_long_sums_and_later_lines_are_read():
     chain = f'a0 = "{parts[0]}"\n' + "".join(f"a{n + 1} = a{n} + a{n}\n" for n in range(60)) + "dsn_credential = a60"
     assert found(chain) == [parts[0]]
     assert found("credentials:\n  name2: plain\n") == [] and found("AUTH_CREDENTIAL=\nOTHER_VALUE1=abc") == []
+
+
+def test_resharding_tells_any_number_of_old_shards_apart(spark):
+    docs = frame(spark, [f"text {i}" for i in range(2100)])
+    rows = sharding.reshard(docs, 4, F.pmod("doc_id", F.lit(700))).collect()
+    olds = {}
+    for r in rows:
+        olds.setdefault(r.old_shard, set()).add(r.doc_id % 700)
+    assert len(rows) == 2100 and len(olds) == 700 and all(len(names) == 1 for names in olds.values())
+    check_shards(rows, 4, 40)
+
+
+def test_transfers_of_many_old_shards_move_the_fewest_bytes():
+    rng = random.Random(9)
+    for n in (0, 1, 3, 7, 600, 2000):
+        sizes, m = [rng.randint(0, 50) for _ in range(n)], 5
+        total = sum(sizes)
+        capacity = [total // m + (j < total % m) for j in range(m)]
+        home, flow = sharding.homes(sizes, m), sharding.transfers(sizes, capacity)
+        assert [sum(v for (i, _), v in flow.items() if i == k) for k in range(n)] == sizes if n < 10 else sum(flow.values()) == total
+        assert [sum(v for (_, j), v in flow.items() if j == k) for k in range(m)] == capacity
+        assert sum(v for (i, j), v in flow.items() if home.get(i) != j) == total - sum(min(sizes[i], capacity[j]) for i, j in home.items())
