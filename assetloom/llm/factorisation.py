@@ -1,11 +1,12 @@
-"""Quality classifier: a factorisation machine over hashed words, structure statistics and metadata.
+"""Quality classifier: a factorisation machine over hashed words and structure statistics.
 
 A text is a sparse vector: its hashed words, with the square roots of their counts scaled to unit length, and dense statistics of its
 structure (lengths, shares of characters, repetition). Low-rank factors give each pair of features a weight, and the
 score takes linear time by the sum-of-squares identity: the pairs' sum is half of (square of the sum minus sum of the squares).
 
 Training reads a bounded sample, at most SAMPLE labelled rows of the learning folds by least hash of the id, on the driver (features only). Every
-document is scored on its whole text; neither labels, language, source nor id are inputs.
+document is scored on its whole text; neither labels, language, source nor id are inputs. Metadata is left out: the only column that may be one, n_chars,
+is the text's own length, of which the statistics have the words and their mean size.
 
 Defined results: a null text counts as empty and is scored like any other. Without learning labels every score is the
 prior one half. If an id has several labels the least one counts. Repeated rows give repeated results; extra columns are ignored.
