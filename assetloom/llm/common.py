@@ -15,26 +15,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or in a local session without it one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     own = spark.conf.get("assetloom.shared.dir", None)
-    if not own:  # only a local session, as in tests, comes here
+    if not own:
+        if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = "file://" + tempfile.mkdtemp(prefix="assetloom-")
         spark.conf.set("assetloom.shared.dir", own)
     return own
 
 
+#: Rows of a table, of a few numbers each, that may be sent to every executor.
+BROADCAST_ROWS = 100_000
+
+
+def checked(df: DataFrame, rows: int) -> DataFrame:
+    """A small side of a join: broadcast if it has no more than BROADCAST_ROWS rows, else joined by an exchange."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back.
 
     It cuts the lineage: what follows reads replicated files, so losing an executor never repeats the work
-    before this point, and a table that is used twice is computed once.
+    before this point, and a table that is used twice is computed once. The folder of an application's tables is
+    deleted when the application ends; results that should outlive it are written by the caller.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/assetloom/{tag}-{uuid.uuid4().hex}"
+    home = f"{shared_dir(spark)}/assetloom-{spark.sparkContext.applicationId}"
+    path = f"{home}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(home)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,11 +6,11 @@ by itself: rests by falling length, each into the first bin that has room, which
 A group and its tree are of bounded size whatever the input.
 
 Ids are those of the ``tokenizers`` library for the given file. The same vocabulary as a file of ranks gives the same ids several times
-faster, except where the two libraries' tables of letters differ or a text spells a special token; such texts go
-through ``tokenizers`` itself.
+faster, except where the two libraries' tables of letters differ, a text spells a special token, or a run of white space is longer than the faster library's
+pattern matcher can step back over; such texts go through ``tokenizers`` itself.
 
-Defined results: a null or empty text is the closing id alone. Repeated rows are packed as often as they occur. Ties of
-length keep the order of (doc_id, start). Other columns are ignored; an empty table gives an empty result.
+Defined results: a null or empty text is the closing id alone. Null ids stay null, and ids beside them keep all 64 bits. Repeated rows are packed as often as they occur. Ties of
+length keep the order of (doc_id, start), null ids last. Other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +33,8 @@ SEQUENCE, CLOSING, GROUP_DOCS = 2048, 1, 2048
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Up to here both libraries agree on what letters, numbers and spaces are.
 _BEYOND = re.compile("[^\x00-ԯ]")
+#: A run of white space that the rank file's library may not step back over.
+_LONG_SPACE = re.compile(r"\s{100000}")
 _FULL = 1 << 62
 
 
@@ -53,7 +55,7 @@ class Ids:
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def of(self, text: str) -> np.ndarray:
-        if self.fast and not _BEYOND.search(text) and not any(s in text for s in self.special):
+        if self.fast and not _BEYOND.search(text) and not any(s in text for s in self.special) and not (len(text) >= 100_000 and _LONG_SPACE.search(text)):
             return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
@@ -106,12 +108,12 @@ def pieces(docs: DataFrame, encoder: tuple[str, str | None, str | None], id_col:
     return picked.mapInArrow(cut, PIECE_SCHEMA)
 
 
-def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
-    bins, offsets = first_fit_decreasing(pdf["length"].to_numpy(), SEQUENCE)
-    pdf["sequence_id"] = pdf.pop("group") * (1 << 32) + bins
-    pdf["offset"] = offsets
-    return pdf
+def _pack(rests: pa.Table) -> pa.Table:
+    """Places for the rests of one group. Arrow all the way: ids are never numbers that round."""
+    rests = rests.take(pc.sort_indices(rests, sort_keys=[("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")]))
+    bins, offsets = first_fit_decreasing(rests["length"].to_numpy(), SEQUENCE)
+    sequences = rests["group"].to_numpy() * (1 << 32) + bins
+    return rests.drop_columns("group").append_column("sequence_id", pa.array(sequences)).append_column("offset", pa.array(offsets))
 
 
 def pack(docs: DataFrame, encoder: tuple[str, str | None, str | None], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,6 +123,6 @@ def pack(docs: DataFrame, encoder: tuple[str, str | None, str | None], id_col: s
     groups = max(1, -(-rests.count() // GROUP_DOCS))
     # The table is fixed, so a repeated task sees its rows at the same places and deals them alike.
     dealt = rests.withColumn("group", F.pmod(F.xxhash64("doc_id", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
-    packed = dealt.groupBy("group").applyInPandas(_pack, PIECE_SCHEMA + ", sequence_id long, offset long")
+    packed = dealt.groupBy("group").applyInArrow(_pack, PIECE_SCHEMA + ", sequence_id long, offset long")
     full = cut.filter(F.col("length") == SEQUENCE).withColumns({"sequence_id": F.lit(_FULL) + F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     return packed.unionByName(full)

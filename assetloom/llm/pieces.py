@@ -1,7 +1,7 @@
 """Text to ids by way of words: byte-level BPE treats each match of a splitting pattern alone, so results can be remembered.
 
-Where a text has no two spaces in a row, every space starts a match: the pattern's words take one leading space, and white
-space before it ends in a match of its own. Such a text is cut at its spaces, and a word's ids (with the leading space)
+A space after a character that isn't white space starts a match: the pattern's words take one leading space, and nothing that comes before can
+take it. A text in which no space follows white space is cut at its spaces, and a word's ids (with the leading space)
 come from a bounded table; only words not in the table meet the pattern. Other texts meet the pattern as a whole.
 """
 
@@ -11,6 +11,14 @@ from collections.abc import Callable
 
 #: Entries of a worker's table of words (that of matches has half as many), and the length in characters of the longest key.
 CACHE, CACHED_CHARS = 1_000_000, 40
+#: All characters that count as white space, each followed by a space.
+_ASCII_THEN_SPACE = tuple(chr(c) + " " for c in range(128) if chr(c).isspace())
+_OTHER_THEN_SPACE = tuple(chr(c) + " " for c in range(128, 0x3001) if chr(c).isspace())
+
+
+def spaces_start_matches(text: str) -> bool:
+    """Whether no space of the text follows white space."""
+    return not any(map(text.__contains__, _ASCII_THEN_SPACE)) and (text.isascii() or not any(map(text.__contains__, _OTHER_THEN_SPACE)))
 
 
 class _Memo(dict):
@@ -41,7 +49,7 @@ class Pieces:
 
     def joined(self, text: str) -> bytes:
         """The ids of a whole text."""
-        if "  " in text:
+        if not spaces_start_matches(text):
             return self.matches(text)
         first, *rest = text.split(" ")
         parts = [self.matches(first)] if first else []

@@ -63,9 +63,11 @@ def ratios(docs: DataFrame, target: DataFrame) -> list[float]:
     mark = target.select("doc_id", F.lit(1).alias("_good"))
     # The ids grow with the input and are never broadcast by us; hashed, so that texts aren't sorted.
     marked = docs.join(mark.hint("shuffle_hash"), "doc_id", "left").select(F.coalesce("_good", F.lit(0)).alias("_good"), words(F.col("text")).alias("ws"))
-    one = marked.select("_good", F.explode("ws").alias("w")).select("_good", _word_bucket(F.col("w")).alias("b"))
-    two = marked.select("_good", F.explode(_windows(2)).alias("p")).filter("p.w1 IS NOT NULL").select("_good", _pair_bucket(F.col("p.ws"), F.col("p.w1")).alias("b"))
-    found = one.union(two).groupBy("b").agg(F.count(F.lit(1)), F.sum("_good")).collect()  # 2 * BUCKETS rows at most
+    # One explode gives a word's own bucket and that of its pair, so texts are read and exchanged once.
+    pairs = marked.select("_good", F.explode(_windows(2)).alias("p"))
+    both = F.array(_word_bucket(F.col("p.ws")), F.when(F.col("p.w1").isNotNull(), _pair_bucket(F.col("p.ws"), F.col("p.w1"))))
+    hashed = pairs.select("_good", F.explode(both).alias("b")).filter("b IS NOT NULL")
+    found = hashed.groupBy("b").agg(F.count(F.lit(1)), F.sum("_good")).collect()  # 2 * BUCKETS rows at most
     raw, good = [0] * (2 * BUCKETS), [0] * (2 * BUCKETS)
     for b, n, g in found:
         raw[b], good[b] = n, g

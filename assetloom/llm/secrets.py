@@ -20,6 +20,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -183,14 +184,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return picked.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
-def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents, all columns, with secrets in the text replaced; a null text stays null."""
+def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """The documents, all columns, with secrets in the text replaced; a null text stays null. length_col: a count of characters that follows the text."""
     at = docs.columns.index(text_col)
+    counted = docs.columns.index(length_col) if length_col else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = [t if t is None else redacted(t, spans(t)[1]) for t in batch.column(at).to_pylist()]
+            was = batch.column(at).to_pylist()
+            texts = [t if t is None else redacted(t, spans(t)[1]) for t in was]
             columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns)]
+            if length_col:
+                less = [0 if t is None else len(t) - len(old) for t, old in zip(texts, was, strict=True)]
+                columns[counted] = pc.add(columns[counted], pa.array(less, columns[counted].type))
             yield pa.record_batch(columns, names=batch.schema.names)
 
     return docs.mapInArrow(run, docs.schema)

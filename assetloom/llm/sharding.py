@@ -1,26 +1,32 @@
 """Minimum-cost-flow resharding: from the sizes of old shards and the capacities of new ones to the transfers that move the fewest bytes.
 
-Rows of an old shard are dealt to blocks by a hash, and only the blocks' sizes (at most MAX_BLOCKS of them, or one for each old shard if those are more) come to the driver. There a flow from
+The sizes of the old shards come to the driver, a row for each. There a flow from
 old shards (their bytes) to new shards (equal capacities) is solved by successive shortest paths; a byte costs nothing where its old
-shard lives on as the new one, else one. Old shards that don't live on cost the same everywhere: they are one source, whose flow is then split among them. The flow of an old shard cuts its rows, in the order of their blocks, into one run for each new
-shard. The few rows on a cut, and the smallest row of each block, are placed last, each where most room is left, which evens
-the shards out to about a row. Slots are ranks within a block plus the block's offset in its shard, so no task sees a whole shard.
+shard lives on as the new one, else one. Old shards that don't live on cost the same everywhere: they are one source, whose flow is then split among them.
+
+The flow decides where rows go. An old shard that goes to one new shard is placed whole. One that is split has its rows dealt to blocks of about BLOCK_ROWS by a hash, and its
+flow is laid along the blocks: a block inside one transfer goes with it, and only the blocks on a cut (fewer than there are cuts) are looked at row by row. There rows are put, by falling size, where
+the block's own transfers have most room left. Rows that fit nowhere are fewer than the transfers that meet in the block and are its smallest ones; they alone are placed last, where most room is left over all shards.
+Bytes moved are thus those of the flow but for these rows. Slots are ranks within a block plus the block's offset in its shard, so no task sees a whole shard.
 
 Defined results: a null text has zero bytes (a row then counts its fixed 8) and the checksum of the empty text. Repeated rows are
-placed as often as they occur. A null old shard is a shard of its own. Other columns are ignored, or carried with ``carry``. An empty table gives an empty result.
+placed as often as they occur. A null old shard is the shard of the empty name. Null ids are placed like any other. Other columns are ignored, or carried with ``carry``. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetloom.llm.common import materialise
+from assetloom.llm.common import checked, materialise
 
-#: Of an old shard's blocks: how many there are in all, and of one shard, at most; each shard has one at least.
-MAX_BLOCKS, BLOCKS = 32768, 64
+#: Rows of a block, about.
+BLOCK_ROWS = 1 << 16
 ROW_BYTES = 8
 
 
@@ -111,6 +117,34 @@ def transfers(sizes: list[int], capacity: list[int]) -> dict[tuple[int, int], in
     return flow
 
 
+def fill(sizes: np.ndarray, pieces: list[tuple[int, int]]) -> np.ndarray:
+    """The new shard of each row of a block, or -1: rows by falling size, each to the piece (new shard, room) with the most room if it fits there."""
+    heap = [(-room, shard) for shard, room in pieces]
+    heapq.heapify(heap)
+    out = np.full(len(sizes), -1, np.int32)
+    for n in np.argsort(-sizes, kind="stable").tolist():
+        room, shard = heap[0]
+        if sizes[n] <= -room:
+            out[n] = shard
+            heapq.heapreplace(heap, (room + int(sizes[n]), shard))
+    return out
+
+
+def along(flows: list[tuple[int, int]], blocks: list[tuple[int, int]]) -> dict[int, list[tuple[int, int]]]:
+    """For each block (number, bytes) of an old shard, in this order, the pieces (new shard, bytes) of the flow that are laid on it."""
+    out, left = {}, [list(f) for f in reversed(flows)]
+    for block, size in blocks:
+        own = out[block] = []
+        while size:
+            n = min(size, left[-1][1])
+            own.append((left[-1][0], n))
+            size -= n
+            left[-1][1] -= n
+            if not left[-1][1]:
+                left.pop()
+    return out
+
+
 def reshard(docs: DataFrame, shards: int, old: Column, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, old_shard, shard, slot (and ``row``, the whole input row, with ``carry``). old: the name of a row's old shard."""
     spark = docs.sparkSession
@@ -121,71 +155,57 @@ def reshard(docs: DataFrame, shards: int, old: Column, id_col: str = "doc_id", t
         (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.coalesce(old.cast("string"), F.lit("")).alias("_name"),
-        *([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []),
+        F.monotonically_increasing_id().alias("_n"),
+        *([F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")] if carry else []),
     )
-    base = materialise(base, "reshard-rows")
-
-    names = [r[0] for r in base.select("_name").distinct().collect()]
-    blocks = max(1, min(BLOCKS, MAX_BLOCKS // max(1, len(names))))
-    numbered = spark.createDataFrame([(n, i) for i, n in enumerate(sorted(names))], "_name string, old_shard int")
-    base = base.join(F.broadcast(numbered), "_name")  # a row for each old shard
-    base = base.drop("_name").withColumn("_block", F.pmod(F.xxhash64("doc_id", "text_crc32", F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
-
-    sums = base.groupBy("old_shard", "_block").agg(F.sum("size").alias("bytes")).collect()  # a row for each block
-    by_block = {(r[0], r[1]): r[2] for r in sums}
-    olds = 1 + max((i for i, _ in by_block), default=-1)
-    sizes = [sum(by_block.get((i, b), 0) for b in range(blocks)) for i in range(olds)]
-    total = sum(sizes)
-    capacity = [total // shards + (j < total % shards) for j in range(shards)]
-    flow = transfers(sizes, capacity)
-
-    runs, starts = [], []
-    for i in range(olds):
-        at, ends, to = 0, [], []
-        for j in range(shards):
-            if flow.get((i, j)):
-                at += flow[i, j]
-                ends.append(at)
-                to.append(j)
-        begin = 0
-        for b in range(blocks):
-            if (i, b) in by_block:
-                starts.append((i, b, begin, ends, to))
-                begin += by_block[i, b]
-        runs.append((ends, to))
-    cuts = spark.createDataFrame(starts, "old_shard int, _block int, _begin long, _ends array<long>, _to array<int>")
-    inside = Window.partitionBy("old_shard", "_block").orderBy("size", "doc_id", "text_crc32")
-    placed = base.withColumns({"_end": F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)), "_at": F.row_number().over(inside)})
-    placed = placed.join(F.broadcast(cuts), ["old_shard", "_block"])  # a row for each block
-    end = F.col("_begin") + F.col("_end")
-    nth = F.size(F.filter("_ends", lambda e: e <= F.col("_start")))
-    placed = placed.withColumn("_start", end - F.col("size")).withColumn("_nth", nth)
-    cut = (end > F.element_at("_ends", F.col("_nth") + 1)) | (F.col("_at") == 1)
-    placed = placed.withColumn("shard", F.when(~cut, F.element_at("_to", F.col("_nth") + 1))).select("doc_id", "size", "text_crc32", "old_shard", "_block", "_at", "shard", *extra)
+    base = materialise(base, "reshard-rows")  # with the numbers of rows, so that every later job deals them alike
+
+    olds = sorted(map(tuple, base.groupBy("_name").agg(F.sum("size"), F.count(F.lit(1))).collect()))  # a row for each old shard
+    sizes = [size for _, size, _ in olds]
+    capacity = [sum(sizes) // shards + (j < sum(sizes) % shards) for j in range(shards)]
+    flows: dict[int, list[tuple[int, int]]] = {}
+    for (i, j), n in sorted(transfers(sizes, capacity).items()):
+        flows.setdefault(i, []).append((j, n))
+    whole = [(name, i, -(-rows // BLOCK_ROWS), flows[i][0][0] if len(flows[i]) == 1 else None) for i, (name, _, rows) in enumerate(olds)]
+    numbered = spark.createDataFrame(whole, "_name string, old_shard int, _blocks int, _whole int")
+    base = base.join(checked(numbered, len(whole)), "_name").withColumn("_block", F.pmod(F.xxhash64("_n", "doc_id", "text_crc32"), F.col("_blocks")).cast("int"))
+
+    # Only old shards that are split, fewer than new ones and cuts, tell the sizes of their blocks.
+    sums: dict[int, list[tuple[int, int]]] = {}
+    for i, b, size in sorted(map(tuple, base.filter("_whole IS NULL").groupBy("old_shard", "_block").agg(F.sum("size")).collect())):
+        sums.setdefault(i, []).append((b, size))
+    laid = {(i, b): pieces for i, blocks in sums.items() for b, pieces in along(flows[i], blocks).items()}
+    split = {k: p for k, p in laid.items() if len(p) > 1}
+    inside = spark.createDataFrame([(i, b, p[0][0] if len(p) == 1 else None) for (i, b), p in laid.items()], "old_shard int, _block int, _inside int")
+    placed = base.join(checked(inside, len(laid)), ["old_shard", "_block"], "left").withColumn("shard", F.coalesce("_whole", "_inside"))
+    placed = placed.select("doc_id", "size", "text_crc32", "old_shard", "_block", "_n", "shard", *extra)
+    if split:
+
+        def cut(rows: pa.Table) -> pa.Table:
+            found = pa.array(fill(rows["size"].to_numpy(), split[rows["old_shard"][0].as_py(), rows["_block"][0].as_py()]))
+            return rows.set_column(rows.column_names.index("shard"), "shard", pc.if_else(pc.less(found, 0), None, found))
+
+        placed = placed.filter("shard IS NOT NULL").unionByName(placed.filter("shard IS NULL").groupBy("old_shard", "_block").applyInArrow(cut, placed.schema))
     placed = materialise(placed, "reshard-placed")
 
-    # Rows on cuts and the smallest of each block: at most the number of blocks and that of cuts.
-    loose = placed.filter("shard IS NULL").select("size", "old_shard", "_block", "_at").collect()
+    loose = placed.filter("shard IS NULL").select("_n", "size").collect()  # fewer than pieces on cuts
     filled = {r[0]: r[1] for r in placed.filter("shard IS NOT NULL").groupBy("shard").agg(F.sum("size")).collect()}
     heap = [(filled.get(j, 0) - capacity[j], j) for j in range(shards)]
     heapq.heapify(heap)
     late = []
-    for size, i, b, at in sorted(map(tuple, loose), key=lambda r: (-r[0], r[1:])):
-        over, j = heapq.heappop(heap)
-        late.append((i, b, at, j))
-        heapq.heappush(heap, (over + size, j))
-    late = spark.createDataFrame(late, "old_shard int, _block int, _at int, _late int")
-    placed = placed.join(F.broadcast(late), ["old_shard", "_block", "_at"], "left").withColumn("shard", F.coalesce("shard", "_late"))
-
-    tally = sorted(map(tuple, placed.groupBy("shard", "old_shard", "_block").count().collect()))
-    offsets, at, last = [], 0, None
-    for j, i, b, n in tally:
-        at = at if j == last else 0
-        offsets.append((j, i, b, at))
-        at, last = at + n, j
-    offsets = spark.createDataFrame(offsets, "shard int, old_shard int, _block int, _offset long")
-    rank = F.row_number().over(Window.partitionBy("old_shard", "_block", "shard").orderBy("_at")) - 1
-    slots = placed.withColumn("_rank", rank).join(F.broadcast(offsets), ["shard", "old_shard", "_block"])
+    for n, size in sorted(map(tuple, loose), key=lambda r: (-r[1], r[0])):
+        over, j = heap[0]
+        late.append((n, j))
+        heapq.heapreplace(heap, (over + size, j))
+    if late:
+        late = spark.createDataFrame(late, "_n long, _late int")
+        placed = placed.join(F.broadcast(late), "_n", "left").withColumn("shard", F.coalesce("shard", "_late")).drop("_late")
+
+    tally = placed.groupBy("shard", "old_shard", "_block").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy("shard").orderBy("old_shard", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tally.select("shard", "old_shard", "_block", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    rank = F.row_number().over(Window.partitionBy("old_shard", "_block", "shard").orderBy("_n")) - 1
+    slots = placed.withColumn("_rank", rank).join(checked(offsets, sum(w[2] for w in whole) + 2 * sum(map(len, split.values()))), ["shard", "old_shard", "_block"])
     return slots.select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("_offset") + F.col("_rank")).alias("slot"), *extra)
 
 
@@ -202,7 +222,7 @@ def rewrite(placed: DataFrame, path: str) -> list[int]:
         sources.setdefault(j, set()).add(i)
         targets.setdefault(i, set()).add(j)
     changed = sorted(j for j, own in sources.items() if len(own) > 1 or len(targets[next(iter(own))]) > 1)
-    own = [F.col("row")[f.name].alias(f.name) for f in placed.schema["row"].dataType if f.name not in ("new_shard", "new_slot")]
+    own = [F.col("row").getField(f.name).alias(f.name) for f in placed.schema["row"].dataType if f.name not in ("new_shard", "new_slot")]
     rows = placed.filter(F.col("shard").isin(changed)).select(*own, F.col("shard").alias("new_shard"), F.col("slot").alias("new_slot"))
     rows.repartition("new_shard", F.floor(F.col("new_slot") / 100_000)).sortWithinPartitions("new_shard", "new_slot").write.mode("overwrite").partitionBy("new_shard").parquet(path)
     return changed

@@ -8,8 +8,9 @@ bit (65) and odd ones those within two (2,081).
 Shuffling that many variants of sixteen bytes would cost far more than the corpus itself. A row of the shuffle
 thus stands for all variants of a fingerprint with one prefix, and the task that gets a prefix spells them out:
 they meet as they would have if each had been shuffled, for a thirtieth of the bytes. The length of the prefix follows the number
-of fingerprints. A prefix that draws too many (a family of near copies whose fingerprints nearly agree) is dealt again
-by a longer one, down to single variants, of which no more than 2,081 fingerprints can be part.
+of fingerprints. A prefix that draws too many variants (a family of near copies whose fingerprints nearly agree) is dealt again
+by a longer one, down to single variants, of which no more than 2,081 fingerprints can be part. The bound is on variants, which are counted
+by a formula before any is spelled out: they are what a task holds in memory.
 
 Fingerprints that meet in a variant are star-linked: if one of them is within one bit of the variant, all others are within
 three bits of it, and two that are both two bits away differ by an even number and so meet in another variant if they are two apart.
@@ -30,15 +31,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetloom.llm.common import materialise
 from assetloom.llm.components import components
 
 BITS, RADIUS, SEED, SHINGLE = 64, 3, 42, 3
-#: Variants that a task spells out for one prefix, about; and members of a prefix above which it is dealt again.
-GROUP_VARIANTS, GROUP_MEMBERS, DEEPER = 1 << 18, 1 << 18, 12
+#: Variants that a task spells out for one prefix, about; those above which a prefix is dealt again; and by how many bits more.
+GROUP_VARIANTS, MOST_VARIANTS, DEEPER = 1 << 18, 1 << 21, 12
 _SLICE = 1 << 15  # shingles whose bits are counted at once
 
 
@@ -175,8 +176,8 @@ def links(fps: DataFrame) -> DataFrame:
     bits = min(BITS, max(1, math.ceil(math.log2(max(1, n * 1073 / GROUP_VARIANTS)))))
     rows, old, parts = fps.select(F.lit(0).cast("long").alias("prefix"), "fp"), 0, None
     while True:
-        dealt = rows.mapInArrow(lambda it, o=old, p=bits: _deal(it, o, p), "prefix long, fp long")
-        hot = materialise(dealt.groupBy("prefix").count().filter(F.col("count") > GROUP_MEMBERS).select("prefix"), "simhash-hot")
+        dealt = materialise(rows.mapInArrow(lambda it, o=old, p=bits: _deal(it, o, p), "prefix long, fp long"), "simhash-dealt")
+        hot = materialise(dealt.groupBy("prefix").agg(F.sum(_variants(bits)).alias("n")).filter(F.col("n") > MOST_VARIANTS).select("prefix"), "simhash-hot")
         more = bits < BITS and not hot.isEmpty()
         cold = dealt.join(hot, "prefix", "left_anti") if more else dealt
 
@@ -184,7 +185,14 @@ def links(fps: DataFrame) -> DataFrame:
         parts = found if parts is None else parts.union(found)
         if not more:
             return parts
-        rows, old, bits = materialise(dealt.join(hot, "prefix", "left_semi"), "simhash-rows"), bits, min(BITS, bits + DEEPER)
+        rows, old, bits = dealt.join(hot, "prefix", "left_semi"), bits, min(BITS, bits + DEEPER)
+
+
+def _variants(bits: int) -> Column:
+    """How many variants with a prefix of so many bits a row (prefix, fp) stands for."""
+    low = BITS - bits
+    left = 1 + F.bit_count("fp").bitwiseAND(F.lit(1)) - F.bit_count(F.shiftrightunsigned("fp", low).bitwiseXOR(F.col("prefix")))
+    return F.when(left <= 0, 1).when(left == 1, 1 + low).otherwise(1 + low + low * (low - 1) // 2).cast("long")
 
 
 def _classes(own: DataFrame) -> DataFrame:
@@ -220,6 +228,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stay = own.join(_classes(own.select("doc_id", "fp")).select("fp", "root"), "fp").groupBy("root").agg(first)
     stay = stay.select(F.coalesce("f.doc_id", F.lit(0)).alias("_id"), F.col("f.doc_id").isNull().alias("_none"), F.col("f.h").alias("_h")).distinct()
     same = ["_id", "_none", "_h"]  # plain equalities: the window below needs no other exchange than the join
-    marked = docs.withColumns({"_h": key, "_id": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "_none": F.col(id_col).isNull()})
+    # Rows travel as one struct, so that no name of theirs can clash.
+    marked = docs.select(key.alias("_h"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("_id"), F.col(id_col).isNull().alias("_none"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"))
     once = F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0)))
-    return marked.join(stay, same, "left_semi").withColumn("_once", once).filter("_once = 1").select(*docs.columns)
+    return marked.join(stay, same, "left_semi").withColumn("_once", once).filter("_once = 1").select("_row.*")

@@ -8,7 +8,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from assetloom.llm import exact_dedup, language_id, packing, secrets, simhash
 from assetloom.llm.common import materialise, table
@@ -34,8 +33,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_marks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps all documents; secrets in their texts become a mark, and n_chars follows."""
-    out = secrets.redact(docs.withColumn("_was", F.length("text")))
-    return out.withColumn("n_chars", F.col("n_chars") + F.coalesce(F.length("text") - F.col("_was"), F.lit(0))).select(*docs.columns)
+    return secrets.redact(docs, length_col="n_chars")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
