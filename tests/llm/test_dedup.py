@@ -217,3 +217,43 @@ def test_fuzzy_passages_near_the_limit_are_found(n, edits):
             longest = max(longest, e + right - s + left) if same >= substring_dedup.SIMILARITY else longest
         found += longest >= substring_dedup.MIN_WORDS
     assert found >= 98
+
+
+def test_snippets_of_several_partners_are_no_passage(spark):
+    rng = random.Random(21)
+    others = [words(rng, 200) for _ in range(3)]
+    mixed = words(rng, 40) + sum((o[80:110] + words(rng, 8) for o in others), []) + words(rng, 40)
+    rows = [(i, " ".join(o)) for i, o in enumerate(others)] + [(9, " ".join(mixed)), (10, " ".join(words(rng, 200)))]
+    assert substring_dedup.passages(frame(spark, rows)).count() == 0
+
+
+def test_edited_copies_of_a_passage_are_recalled_and_clean_documents_left_alone(spark):
+    """Twelve documents share a passage of 120 words with 8 edits in each, in five families; clean ones share nothing."""
+    rng = random.Random(22)
+    rows, truth = [], {}
+    for family in range(5):
+        passage = words(rng, 120)
+        for n in range(12):
+            own = list(passage)
+            for k in rng.sample(range(120), 8):
+                own[k] = words(rng, 1)[0]
+            lead = rng.randrange(20, 90)
+            truth[family * 100 + n] = (lead, lead + 120)
+            rows.append((family * 100 + n, " ".join(words(rng, lead) + own + words(rng, 40))))
+    rows += [(10_000 + n, " ".join(words(rng, 300))) for n in range(40)]
+    rng.shuffle(rows)
+    covered = {}
+    for r in substring_dedup.passages(frame(spark, rows)).collect():
+        covered.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    assert set(covered) == set(truth)
+    inside = sum(len(covered[i] & set(range(a, b))) for i, (a, b) in truth.items())
+    outside = sum(len(covered[i] - set(range(a, b))) for i, (a, b) in truth.items())
+    assert inside >= 0.9 * 120 * len(truth) and outside <= 0.02 * 120 * len(truth)
+
+
+def test_long_copies_are_aligned_in_parts(spark):
+    rng = random.Random(23)
+    long = words(rng, 20_000)
+    edited = [w if n % 40 else "edit" for n, w in enumerate(long)]
+    got = {r.doc_id: (r.start_word, r.end_word) for r in substring_dedup.passages(frame(spark, [(1, " ".join(long)), (2, " ".join(edited))])).collect()}
+    assert set(got) == {1, 2} and all(a <= 1 and b == 20_000 for a, b in got.values())
