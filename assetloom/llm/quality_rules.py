@@ -6,7 +6,7 @@ log(target / raw) over its n-grams, so it doesn't depend on length, and every do
 fixed threshold. A bucket's ratio is shrunk by SMOOTHING times the occurrences that the target has of a bucket on average, so that it doesn't depend on the size
 of the corpus: words too rare to tell are neutral, and text that the target avoids is dropped.
 
-Labels and texts are joined by id over one exchange. Counting explodes words to rows that are aggregated before the shuffle (at most 2 * BUCKETS rows a task). Scoring
+Texts are marked by bitmaps of the target's ids where these are few enough to send to every executor, else over one exchange. Counting explodes words to rows that are aggregated before the shuffle (at most 2 * BUCKETS rows a task). Scoring
 has no shuffle: the ratios are a literal of fixed size, looked up within the row.
 
 Defined results: a null text has no words and fails the base rule. Repeated rows give repeated results. Without labels, or without
@@ -20,7 +20,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assetloom.llm.common import materialise
+
 BUCKETS, SMOOTHING, THRESHOLD = 1 << 15, 0.5, -0.2
+#: Bitmaps of target ids, of 4 KB each, that may be sent to every executor: 16 MB.
+BITMAPS = 1 << 12
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\x0b\f\r"
 
@@ -58,11 +62,30 @@ def target_ids(labels: DataFrame) -> DataFrame:
     return labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
 
 
+def _marked(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with _good, 1 in the target and else 0; the same rows whichever way they are joined.
+
+    Whole ids become bitmaps of 32,768 ids in 4 KB each, written as a table and counted: up to BITMAPS of them are broadcast, and texts stay where they are.
+    Beyond that, or with other ids, ids and texts meet by an exchange, hashed, so that texts aren't sorted.
+    """
+    whole = {"tinyint", "smallint", "int", "bigint"}
+    if dict(docs.dtypes)["doc_id"] in whole and dict(target.dtypes)["doc_id"] in whole:
+        bits = target.groupBy(F.bitmap_bucket_number(F.col("doc_id").cast("long")).alias("_range")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("doc_id").cast("long"))).alias("_bits"))
+        bits = materialise(bits, "rules-target")
+        if bits.count() <= BITMAPS:
+            own = F.col("doc_id").cast("long")
+            met = docs.join(F.broadcast(bits), F.bitmap_bucket_number(own) == F.col("_range"), "left")
+            at = F.bitmap_bit_position(own)
+            byte = F.conv(F.hex(F.substring("_bits", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+            good = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (at % 8).cast("int"))) != 0
+            return met.select("doc_id", "text", F.when(good, 1).otherwise(0).alias("_good"))
+    mark = target.select("doc_id", F.lit(1).alias("_good"))
+    return docs.join(mark.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", F.coalesce("_good", F.lit(0)).alias("_good"))
+
+
 def ratios(docs: DataFrame, target: DataFrame) -> list[float]:
     """log(target / raw) of each bucket, words first and then pairs; docs: (doc_id, text)."""
-    mark = target.select("doc_id", F.lit(1).alias("_good"))
-    # The ids grow with the input and are never broadcast by us; hashed, so that texts aren't sorted.
-    marked = docs.join(mark.hint("shuffle_hash"), "doc_id", "left").select(F.coalesce("_good", F.lit(0)).alias("_good"), words(F.col("text")).alias("ws"))
+    marked = _marked(docs, target).select("_good", words(F.col("text")).alias("ws"))
     # One explode gives a word's own bucket and that of its pair, so texts are read and exchanged once.
     pairs = marked.select("_good", F.explode(_windows(2)).alias("p"))
     both = F.array(_word_bucket(F.col("p.ws")), F.when(F.col("p.w1").isNotNull(), _pair_bucket(F.col("p.ws"), F.col("p.w1"))))

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter
@@ -126,3 +127,37 @@ def test_verdicts_do_not_depend_on_the_size_of_the_corpus(spark):
         rows = quality_rules.quality(more(docs), more(labels)).filter("doc_id % 3 = 0").collect()
         found.append({r.doc_id: (r.kept, round(r.llr, 3)) for r in rows})
     assert found[0] == found[1]
+
+
+def plain_words(text):
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+
+
+@pytest.mark.parametrize("bitmaps", [1 << 12, 0])
+def test_the_ratio_against_a_plain_version(spark, bitmaps, monkeypatch):
+    """Words spell their own bucket, by either way of marking the target; ids are negative, far apart, null and repeated."""
+    monkeypatch.setattr(quality_rules, "BITMAPS", bitmaps)
+    rng = random.Random(8)
+    ids = [-70_000, -32_768, -1, 0, 1, 32_767, 32_768, 2**40, 2**62 + 1, None, 7, 7]
+    texts = [" ".join(rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(rng.randrange(10, 60))) for _ in ids[:-2]] + ["ax bx " * 10, None]
+    good = {-70_000, -1, 0, 32_768, 2**62 + 1, 7, 99}
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in good] + [(7, 1), (None, 1), (1, 0)], "doc_id long, quality int")
+    every = sorted({w for t in texts for w in plain_words(t)})
+    both = sorted({p for t in texts for p in zip(plain_words(t), plain_words(t)[1:])})
+    bucket = {r.w: r.b for r in spark.createDataFrame([(w,) for w in every], "w string").select("w", quality_rules._word_bucket(F.col("w")).alias("b")).collect()}
+    bucket |= {(r.a, r.b): r.k for r in spark.createDataFrame(both, "a string, b string").select("a", "b", quality_rules._pair_bucket(F.col("a"), F.col("b")).alias("k")).collect()}
+    grams = [[bucket[g] for g in plain_words(t)] + [bucket[g] for g in zip(plain_words(t), plain_words(t)[1:])] for t in texts]
+    table_, size = {}, quality_rules.BUCKETS
+    for half in (0, 1):
+        raw, target = Counter(), Counter()
+        for i, own in zip(ids, grams):
+            mine = [b for b in own if b // size == half]
+            raw.update(mine)
+            target.update(mine if i in good else [])
+        part, shrink = sum(target.values()) / sum(raw.values()), quality_rules.SMOOTHING * sum(target.values()) / size
+        table_ |= {b: round(math.log((target[b] + shrink) / (raw[b] * part + shrink)), 4) for b in raw}
+    want = sorted((str(i), round(sum(table_[b] for b in own) / len(own), 6) if own else 0.0) for i, own in zip(ids, grams))
+    got = quality_rules.quality(docs, labels).collect()
+    assert sorted((str(r.doc_id), round(r.llr, 6)) for r in got) == want
+    assert all(r.kept == (not r.base_failed and r.llr >= quality_rules.THRESHOLD) for r in got)
