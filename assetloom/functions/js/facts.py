@@ -15,9 +15,9 @@ from assetloom.functions.js.walk import bottom_up
 # Fixed values.
 FRAMEWORKS = ("react", "vue", "angular", "svelte", "solid", "preact")
 NAMED_FRAMEWORKS = ("react", "vue", "angular", "svelte")
-VERBS = frozenset("get post put patch delete options head".split())
-INSERTS = frozenset("append prepend replaceWith after before insertAdjacentHTML".split())
-METHOD_SINKS = INSERTS | {"postMessage", "write", "writeln", "open", "setAttribute"}
+VERBS = frozenset(("get", "post", "put", "patch", "delete", "options", "head"))
+INSERTS = frozenset(("append", "prepend", "replaceWith", "after", "before", "insertAdjacentHTML"))
+METHOD_SINKS = frozenset(("append", "prepend", "replaceWith", "after", "before", "insertAdjacentHTML", "postMessage", "write", "writeln", "open", "setAttribute"))
 WATCHED = {"document.cookie": "cookies", "document.domain": "document_domain", "window.name": "window_name"}
 KIND = {"cookies": "cookie", "endpoints": "endpoint", "sinks": "sink", "user_sinks": "user_sink", "events": "event", "regexes": "regex", "frameworks": "framework", "dependencies": "dependency", "schemas": "schema", "secrets": "secret", "feature_flags": "feature_flag"}
 
