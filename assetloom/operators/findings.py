@@ -9,6 +9,8 @@ from assetloom.functions import text as T
 from assetloom.sources.rules import Rule
 
 META = "map<string,string>"
+#: Above the number of findings that a fact can give: a few, and one for each rule.
+ORDER = 1 << 32
 
 
 def _finding(bucket: str, kind: str, label: Column, detail: Column | None = None, meta: Column | None = None) -> Column:
@@ -72,7 +74,7 @@ def findings(facts: DataFrame, quirks: str = T.INTENDED, rules: list[Rule] | Non
         .when((what == "flag_inside") & T.is_flag_container(name) & T.is_flag_name(label), flag)
     )
     out = facts.select("asset_id", "pos", "file_path", F.col("ord").alias("_at"), "line", "col", F.posexplode(rows).alias("_n", "f"))
-    return out.select("asset_id", "pos", "file_path", "f.kind", "f.bucket", "f.label", "f.detail", "line", "col", "f.meta", (F.col("_at") * 1000 + F.col("_n")).alias("ord"))
+    return out.select("asset_id", "pos", "file_path", "f.kind", "f.bucket", "f.label", "f.detail", "line", "col", "f.meta", (F.col("_at").cast("long") * ORDER + F.col("_n")).alias("ord"))
 
 
 def words(facts: DataFrame) -> DataFrame:

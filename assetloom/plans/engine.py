@@ -41,12 +41,19 @@ class Engine:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def facts(self, sources: DataFrame, known: DataFrame | None = None) -> DataFrame:
-        """Facts of sources (asset_id, pos, file_path, source); known facts of the same assets are taken over."""
-        rows = sources
-        if known is not None:
-            rows = sources.join(known.select("asset_id").distinct(), "asset_id", "left_anti")
-        new = FA.facts(rows)
-        return self.stored(new if known is None else new.unionByName(known.join(sources.select("asset_id").distinct(), "asset_id", "left_semi")), "facts")
+        """Facts of sources (asset_id, pos, file_path, source), with the version that they are of.
+
+        Known facts of this version are taken over for the assets that sources still have (an id names a text), at the place and path that these have now.
+        """
+        version = self.version()
+        if known is None or "version" not in known.columns:
+            return self.stored(FA.facts(sources).withColumn("version", F.lit(version)), "facts")
+        known = known.filter(F.col("version") == version)
+        # An asset without facts is told apart from an unknown one by its status, which every parsed asset has.
+        new = FA.facts(sources.join(known.select("asset_id").distinct(), "asset_id", "left_anti")).withColumn("version", F.lit(version))
+        now = sources.groupBy("asset_id").agg(F.min(F.struct("pos", "file_path")).alias("now"))
+        moved = known.drop("pos", "file_path").join(now, "asset_id").select("*", F.col("now.pos").cast("long").alias("pos"), "now.file_path").drop("now")
+        return self.stored(new.unionByName(moved.select(*new.columns)), "facts")
 
     def ingest(self, captures: DataFrame, scope: DataFrame | None = None) -> DataFrame:
         """Captures to (asset_id, source, beautified): the code among them, laid out where it is minified or always is."""

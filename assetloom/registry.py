@@ -7,17 +7,20 @@ pages, documents and conversations are literals.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetloom.config import EngineConfig
 from assetloom.functions import text as T
 from assetloom.functions import urls
+from assetloom.functions.rewrite import beautified, unpacked
 from assetloom.operators import captures as C
 from assetloom.operators import facts as FA
 from assetloom.operators import findings as FI
 from assetloom.operators import rollups as R
+from assetloom.sources import index as SI
 from assetloom.sources.rules import DEFAULTS
 
 FLAGSHIP = "pages_by_host"
@@ -90,6 +93,22 @@ IS_DATA = rf"(length(v) BETWEEN 4 AND 80 AND NOT {IS_CSS} AND regexp_matches(v,
 SEGMENTS = r"list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(v, '^([^?]*)\?', '\1/'), '^([^&]*)&', '\1/'), '^([^=]*)=', '\1/'), '/'), lambda s: s <> '')"
 
 
+def spelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct strings spelled from part keys, so that every classifier has something to find."""
+    md5 = F.md5(F.col("p_partkey").cast("string").cast("binary"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("k"), md5.alias("m"))
+    shapes = SPELLED.replace("to_base64(encode(m))", "base64(cast(m AS binary))")
+    return rows.select(F.explode(F.expr(f"array({shapes})")).alias("v")).distinct()
+
+
+#: Of a part's key ``k`` and its hash ``m``, in both dialects: MIME types, tokens, known prefixes, flags, secret names, long values, hosts, paths, selectors.
+SPELLED = """'image/x' || k, 'text/html', substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21, 12),
+  substr(m, 1, 10) || '.' || substr(m, 11, 10) || '.' || substr(m, 21, 10), 'AKIA' || upper(m), 'sk_live_' || m, 'ghp_' || m, 'AIza' || m, to_base64(encode(m)), m || m, 'feature_flag_' || k, 'ff_' || k, 'config.ff_new' || k,
+  'rollouts', 'api_key_' || k, 'userToken' || k, repeat('long value ' || k || ' ', 12), 'api' || k || '.example.com:8080', 'wss://h' || k || '.example/graphql', '/api/v1/item?id=' || k || '&sort=up#part', 'hooks/webhook/' || k,
+  'assets/app.' || k || '.min.js', '.card-' || k || ' > #x', '[data-k=' || k || ']', 'say, "' || k || '"', 'Plain words ' || k"""
+SPELLED_SQL = f"literals AS (SELECT DISTINCT unnest([{SPELLED}]) AS v FROM (SELECT p_partkey::VARCHAR AS k, md5(p_partkey::VARCHAR) AS m FROM part))"
+
+
 def event_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as findings: a user's day is an asset, the event's type the bucket, its payload the label."""
     e = table(spark, sf_dir, "events")
@@ -211,26 +230,26 @@ def resolved_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"""WITH {LITERALS} SELECT v, {IS_URL} AS is_url, {IS_PATH} AS is_path, {IS_HOST} AS is_hostname, {IS_MIME} AS is_mime, {EXT} AS extension, regexp_matches(v, '^[A-Za-z0-9_-]{{3,64}}\z') AS is_word,
   {B64} AS is_base64ish, {HEX} AS is_hexish, {JWT} AS is_jwt, {UUID} AS is_uuid, {IS_CSS} AS is_css, {IS_DATA} AS is_data FROM literals""")
-def literal_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def literal_classes(spark: SparkSession, sf_dir: str, strings=literals) -> DataFrame:
     v = F.col("v")
     found = {
         "is_url": T.is_url(v), "is_path": T.is_path(v), "is_hostname": T.is_hostname(v), "is_mime": T.is_mime(v), "extension": T.extension(v), "is_word": T.is_word(v), "is_base64ish": T.is_base64ish(v),
         "is_hexish": T.is_hexish(v), "is_jwt": T.is_jwt(v), "is_uuid": T.is_uuid(v), "is_css": T.is_css_selector(v), "is_data": T.is_data(v),
     }
-    return literals(spark, sf_dir).withColumns(found)
+    return strings(spark, sf_dir).withColumns(found)
 
 
 @query(rf"""WITH {LITERALS} SELECT v, array_to_string({SEGMENTS}, '|') AS segments, array_to_string(list_filter({SEGMENTS}, lambda s: regexp_matches(s, '^[A-Za-z0-9_-]{{3,64}}\z')), '|') AS words,
   array_to_string(CASE WHEN contains(v, '?') THEN list_filter(list_transform(string_split(regexp_replace(v, '^[^?]*\?', ''), '&'), lambda p: split_part(p, '=', 1)), lambda p: p <> '') ELSE [] END, '|') AS params FROM literals""")
-def literal_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+def literal_paths(spark: SparkSession, sf_dir: str, strings=literals) -> DataFrame:
     v = F.col("v")
-    return literals(spark, sf_dir).select("v", *(F.array_join(c, "|").alias(n) for n, c in (("segments", T.path_segments(v)), ("words", T.path_words(v)), ("params", T.query_params(v)))))
+    return strings(spark, sf_dir).select("v", *(F.array_join(c, "|").alias(n) for n, c in (("segments", T.path_segments(v)), ("words", T.path_words(v)), ("params", T.query_params(v)))))
 
 
 @query(rf"""WITH {LITERALS} SELECT v, {REASON} AS reason, length(v) >= 12 AND NOT {BROKEN} AND NOT ({IS_URL} OR {IS_PATH} OR {IS_HOST} OR {IS_MIME} OR ({EXT}) IS NOT NULL) AND regexp_matches(v, '^[A-Za-z0-9._+$\-/=?]+\z') AS sensitive
   FROM literals""")
-def literal_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return literals(spark, sf_dir).select("v", T.secret_reason(F.col("v")).alias("reason"), T.is_sensitive_literal(F.col("v")).alias("sensitive"))
+def literal_secrets(spark: SparkSession, sf_dir: str, strings=literals) -> DataFrame:
+    return strings(spark, sf_dir).select("v", T.secret_reason(F.col("v")).alias("reason"), T.is_sensitive_literal(F.col("v")).alias("sensitive"))
 
 
 @query(rf"""WITH {LITERALS} SELECT v, round({ENTROPY}, 6) AS entropy FROM literals WHERE length(v) BETWEEN 1 AND 200 AND regexp_matches(v, '^[\x20-\x7E]+\z')""")
@@ -252,9 +271,9 @@ def literal_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
   lower(v) NOT IN ('featureflags','feature_flags','feature-toggles','flags','toggles','experiments','variants','rollouts') AND length(lower(v)) BETWEEN 3 AND 80 AND regexp_matches(lower(v), 'feature|flag|toggle|experiment|variant|rollout|abtest|ab_test|switch|^ff_') AS flag_name,
   regexp_matches(lower(v), 'feature|flag|toggle|experiment|variant|rollout|abtest|ab_test|switch') OR regexp_matches(lower(v), '(?:\.|_)ff_[a-z0-9_]+') AS flag_path,
   CASE WHEN regexp_matches(v, '[,"\n]') THEN '"' || replace(v, '"', '""') || '"' ELSE v END AS csv FROM literals""")
-def literal_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+def literal_names(spark: SparkSession, sf_dir: str, strings=literals) -> DataFrame:
     v = F.col("v")
-    return literals(spark, sf_dir).select("v", T.truncated(v).alias("truncated"), T.path_type(v).alias("path_type"), T.is_secret_name(v).alias("secret_name"), T.is_flag_name(v).alias("flag_name"), T.is_flag_path(v).alias("flag_path"), T.csv_field(v).alias("csv"))
+    return strings(spark, sf_dir).select("v", T.truncated(v).alias("truncated"), T.path_type(v).alias("path_type"), T.is_secret_name(v).alias("secret_name"), T.is_flag_name(v).alias("flag_name"), T.is_flag_path(v).alias("flag_path"), T.csv_field(v).alias("csv"))
 
 
 @query(rf"""WITH g AS (SELECT conv_id, turn, lower(regexp_replace(regexp_replace(text, '[{SPACE}]+', ' ', 'g'), '^ | $', '', 'g')) AS t FROM conversations)
@@ -388,3 +407,147 @@ def script_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""SELECT '<top>' AS caller, unnest(regexp_extract_all(html, '<script>var t="[^"]*";(\w+)\(', 1)) AS callee, count(*) AS edges FROM pages GROUP BY 1, 2""")
 def script_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FI.call_graph(FA.facts(scripts(spark, sf_dir))).groupBy("caller", "callee").agg(F.count(F.lit(1)).alias("edges"))
+
+
+# The same classifiers over strings that make each of them fire.
+
+for _name in ("literal_classes", "literal_paths", "literal_secrets", "literal_names"):
+    QUERIES[_name.replace("literal", "spelled")] = partial(QUERIES[_name], strings=spelled)
+    ORACLE_SQL[_name.replace("literal", "spelled")] = ORACLE_SQL[_name].replace(LITERALS, SPELLED_SQL)
+
+
+@query(f"WITH {SPELLED_SQL} SELECT * FROM (" + " UNION ALL ".join(f"SELECT v, '{r.id}' AS rule FROM literals WHERE regexp_matches(v, '(?i){r.pattern}')" for r in DEFAULTS) + ")")
+def spelled_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = F.array_compact(F.array(*(F.when(F.col("v").rlike(r.java), F.lit(r.id)) for r in DEFAULTS)))
+    return spelled(spark, sf_dir).select("v", F.explode(hits).alias("rule"))
+
+
+@query(r"""SELECT event_id, CASE event_type WHEN 'click' THEN 'graphql:query' WHEN 'view' THEN 'graphql:mutation' WHEN 'error' THEN 'graphql:subscription' WHEN 'purchase' THEN 'graphql:fragment' END AS graphql FROM events""")
+def event_graphql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a query language, one kind for each type of event."""
+    k = F.col("event_id").cast("string")
+    kind = F.col("event_type")
+    shape = F.when(kind == "click", "query Item# { item }").when(kind == "view", "  mutation  Put# { put }").when(kind == "error", "x subscription S# { s }").when(kind == "purchase", "{ a# __typename }").otherwise("plain #")
+    return table(spark, sf_dir, "events").select("event_id", T.graphql(F.replace(shape, F.lit("#"), k)).alias("graphql"))
+
+
+# Programs, pages and packed texts with part keys in them. What must come out is known from what went in.
+
+PROGRAM = """fetch('/api/v{k}/items?id={k}', {method: 'POST', headers: {Authorization: t}});
+axios.get('/orders/{k}');
+el.innerHTML = location.hash;
+eval(code{k});
+document.cookie = 'k{k}=1';
+window.addEventListener('message', function on{k}(e) { sink{k}(e.data); });
+const re{k} = /ab+c{k}/;
+import React from 'react';
+import('./chunk{k}.js');
+const apiKey{k} = 'sk_live_{k}abcdefghijklmnopqrst';
+const flags = {feature_flag_{k}: true};
+new WebSocket('wss://live{k}.example.com/socket');
+localStorage.setItem('session{k}', v);
+postMessage(x{k}, '*');
+function caller{k}(a) { callee{k}(a); }
+function callee{k}(b) { document.write(b); }
+caller{k}(location.search);
+"""
+FOUND = """('paths', '/api/v{k}/items?id={k}', 'query,api', 1), ('data', 'POST', NULL, 1), ('endpoints', '/api/v{k}/items?id={k}', 'fetch', 1), ('fetch_options', 'fetch options', 'method, headers', 1),
+  ('paths', '/orders/{k}', 'simple', 2), ('endpoints', '/orders/{k}', 'axios', 2), ('location', 'location.hash', 'read', 3), ('sinks', 'innerHTML', NULL, 3), ('user_sinks', 'innerHTML', NULL, 3), ('sinks', 'eval', NULL, 4),
+  ('cookies', 'document.cookie', 'read', 5), ('cookies', 'document.cookie', 'assignment', 5), ('data', 'message', NULL, 6), ('events', 'message', NULL, 6), ('regexes', '/ab+c{k}/', 'pattern', 7), ('data', 'react', NULL, 8),
+  ('frameworks', 'react', NULL, 8), ('dependencies', 'react', NULL, 8), ('paths', './chunk{k}.js', 'simple', 9), ('extensions', '.js', './chunk{k}.js', 9),
+  ('secrets', 'sk_live_{k}abcdefghijklmnopqrst (known-prefix)', 'sk_live_{k}abcdefghijklmnopqrst', 10), ('signatures', 'Stripe Secret Key', 'sk_live_{k}abcdefghijklmnopqrst', 10),
+  ('secrets', 'sk_live_{k}abcdefghijklmnopqrst (var-context)', 'sk_live_{k}abcdefghijklmnopqrst', 10), ('feature_flags', 'feature_flag_{k}', 'property', 11), ('urls', 'wss://live{k}.example.com/socket', NULL, 12),
+  ('paths', '/socket', 'url-path', 12), ('endpoints', 'wss://live{k}.example.com/socket', 'WebSocket', 12), ('sinks', 'localStorage', NULL, 13), ('storage', 'localStorage', NULL, 13), ('data', 'session{k}', NULL, 13),
+  ('sinks', 'write', NULL, 16), ('location', 'location.search', 'read', 17)"""
+CALLS = """('<top>', 'fetch', 1), ('<top>', 'axios.get', 2), ('<top>', 'eval', 4), ('on{k}', 'sink{k}', 6), ('<top>', 'window.addEventListener', 6), ('<top>', 'localStorage.setItem', 13), ('<top>', 'postMessage', 14),
+  ('caller{k}', 'callee{k}', 15), ('callee{k}', 'document.write', 16), ('<top>', 'caller{k}', 17)"""
+KEYS = "(SELECT p_partkey::VARCHAR AS k FROM part)"
+
+
+def with_key(text: str) -> Column:
+    return F.replace(F.lit(text), F.lit("{k}"), F.col("p_partkey").cast("string"))
+
+
+def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part")
+    return rows.select(with_key("js:{k}").alias("asset_id"), F.col("p_partkey").cast("long").alias("pos"), with_key("/cap/{k}.js").alias("file_path"), with_key(PROGRAM).alias("source"))
+
+
+@query(f"SELECT 'js:' || k AS asset_id, bucket, replace(label, '{{k}}', k) AS label, replace(detail, '{{k}}', k) AS detail, line FROM {KEYS}, (VALUES {FOUND}) t(bucket, label, detail, line)")
+def program_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FI.findings(FA.facts(programs(spark, sf_dir)), rules=list(DEFAULTS)).select("asset_id", "bucket", "label", "detail", "line")
+
+
+@query(f"SELECT 'js:' || k AS asset_id, replace(caller, '{{k}}', k) AS caller, replace(callee, '{{k}}', k) AS callee, line FROM {KEYS}, (VALUES {CALLS}) t(caller, callee, line)")
+def program_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FI.call_graph(FA.facts(programs(spark, sf_dir))).select("asset_id", "caller", "callee", "line")
+
+
+@query(f"SELECT replace(caller, '{{k}}', k) AS caller, count(*) AS edges, count(DISTINCT replace(callee, '{{k}}', k)) AS callees FROM {KEYS}, (VALUES {CALLS}) t(caller, callee, line) GROUP BY 1")
+def program_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.calls_by_caller(FI.call_graph(FA.facts(programs(spark, sf_dir))))
+
+
+@query(f"""SELECT 'js:' || k AS asset_id, source_label, source_line, sink_label, sink_line, source_label || ' > ' || sink_label AS path
+FROM {KEYS}, (VALUES ('location.hash', 3, 'innerHTML', 3), ('location.search', 17, 'document.write', 16)) t(source_label, source_line, sink_label, sink_line)""")
+def program_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From what a user controls to where it becomes code: at once, and through two calls."""
+    return FI.traces(FA.facts(programs(spark, sf_dir))).select("asset_id", "source_label", "source_line", "sink_label", "sink_line", F.array_join("path", " > ").alias("path"))
+
+
+PACKED = "eval(function(p,a,c,k,e,d){while(c--)if(k[c])p=p.replace(new RegExp('\\b'+c+'\\b','g'),k[c]);return p}('0 1=2;3(1)',10,4,'var|item{k}|n{k}|show'.split('|'),0,{}))"
+
+
+@query(f"""SELECT k AS key, replace(kind, '{{k}}', k) AS kind, replace(source, '{{k}}', k) AS source FROM {KEYS}, (VALUES ('packer', 'var item{{k}}=n{{k}};show(item{{k}})'), ('array', 'f("a{{k}}","b");'),
+  ('urlencode', 'var item{{k}} = 1; show(item{{k}})'), ('plain', 'var plain{{k}} = 1;')) t(kind, source)""")
+def unpacked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = {"packer": PACKED, "array": 'var _0xab{k}=["a{k}","b"];f(_0xab{k}[0],_0xab{k}[1]);', "urlencode": "var%20item{k}%20=%201;%20show(item{k})", "plain": "var plain{k} = 1;"}
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("key"), F.explode(F.create_map(*(c for k, v in made.items() for c in (F.lit(k), with_key(v))))).alias("kind", "source"))
+    return rows.select("key", "kind", unpacked(F.col("source")).alias("source"))
+
+
+@query(rf"""SELECT k AS key, replace(source, '{{k}}', k) AS source FROM {KEYS}, (VALUES (E'if (a{{k}}) {{
+  b();
+}} else {{
+  c({{k}});
+}}'), (E'var o = {{
+  k{{k}}: 1,
+  l: [1, 2]
+}}'),
+  (E'function f{{k}}(x) {{
+  return x ? 1 : {{k}};
+}}')) t(source)""")
+def laid_out_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = ("if(a{k}){b();}else{c({k});}", "var o={k{k}:1,l:[1,2]}", "function f{k}(x){return x?1:{k};}")
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("key"), F.explode(F.array(*map(with_key, made))).alias("source"))
+    return rows.select("key", beautified()(F.col("source")).alias("source"))
+
+
+@query(f"""SELECT 'js:' || k AS asset_id, 'resolved/' || substr(sha256(k), 1, 16) || '/' || replace(name, '{{k}}', k) AS file_path, replace(source, '{{k}}', k) AS source
+FROM {KEYS}, (VALUES ('src_a{{k}}.ts', 'let a = {{k}};'), ('source-1.js', 'b({{k}})')) t(name, source)""")
+def resolved_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Original files out of inline sourcemaps: safe names, a name for one without, and none for a file without a text."""
+    raw = with_key('{"version":3,"sources":["src/a{k}.ts","","gone.ts"],"sourcesContent":["let a = {k};","b({k})",""]}')
+    source = F.concat(F.lit("go();\n//# sourceMappingURL=data:application/json;base64,"), F.base64(F.encode(raw, "UTF-8")))
+    none = F.lit(None).cast("string")
+    rows = table(spark, sf_dir, "part").select(with_key("js:{k}").alias("asset_id"), F.col("p_partkey").cast("long").alias("pos"), F.sha2(F.col("p_partkey").cast("string"), 256).alias("sha256"), F.regexp_replace(source, "\r\n", "").alias("source"), none.alias("sourcemap_ref"), none.alias("sourcemap_path"))
+    return SI.resolved_sources(SI.sourcemaps(rows)).select("asset_id", "file_path", "source")
+
+
+@query("""SELECT page_id, 'https://cdn.example/' || page_id || '.js' AS script_url, 'js:' || page_id AS asset_id, url AS page_url FROM pages
+UNION ALL SELECT page_id, 'https://cdn.example/shared.js', NULL, url FROM pages""")
+def page_script_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The asset of each script that a page loads; null for one that wasn't captured."""
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", F.concat(F.col("html"), F.lit('<script src="https://cdn.example/'), F.col("page_id"), F.lit(".js\"></script><SCRIPT async src=' https://cdn.example/shared.js '></SCRIPT>")).alias("html"))
+    none = F.lit(None)
+    pages = rows.select(F.concat(F.lit("html:"), F.col("page_id")).alias("asset_id"), F.col("page_id").cast("long").alias("pos"), "url", F.lit("html").alias("asset_type"), F.lit("/p").alias("html_path"), C.script_sources(F.col("html")).alias("script_srcs"), C.inline_scripts(F.col("html")).cast("int").alias("inline_script_count"))
+    scripts_ = rows.select(F.concat(F.lit("js:"), F.col("page_id")).alias("asset_id"), F.col("page_id").cast("long").alias("pos"), F.concat(F.lit("https://cdn.example/"), F.col("page_id"), F.lit(".js")).alias("url"), F.lit("js").alias("asset_type"), none.cast("string").alias("html_path"), none.cast("array<string>").alias("script_srcs"), none.cast("int").alias("inline_script_count"))
+    assets = pages.unionByName(scripts_)
+    return R.script_targets(assets, R.page_assets(assets)).join(rows.select("page_id", F.col("url").alias("page_url")), "page_url")
+
+
+@query("""SELECT 'js:' || p_partkey AS asset_id, 'https://h.example/api/x' || p_partkey || '/map' AS url, '/api/x' || p_partkey AS base_path, 'token' AS auth FROM part""")
+def endpoint_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Endpoints with their clusters."""
+    rows = table(spark, sf_dir, "part").select(with_key("js:{k}").alias("asset_id"), F.lit("endpoints").alias("bucket"), with_key("https://h.example/api/x{k}/map").alias("label"), F.create_map(F.lit("auth"), F.lit("token")).alias("meta"))
+    return R.cluster_members(rows).select("asset_id", F.col("label").alias("url"), "base_path", "auth")

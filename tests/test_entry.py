@@ -28,5 +28,17 @@ def test_query_matches_sql(spark, oracle, name):
         assert columns == sorted(want.columns) and rows(got, columns) == rows(want, columns)
 
 
+def test_every_query_finds_something_and_every_classifier_fires(spark):
+    frames = {n: registry.QUERIES[n](spark, SF) for n in registry.QUERIES if n.startswith(("spelled_", "program_", "unpacked_", "laid_", "resolved_maps", "page_script", "endpoint_"))}
+    assert all(not df.isEmpty() for df in frames.values())
+    for name in ("spelled_classes", "spelled_secrets", "spelled_names", "spelled_paths"):
+        df = frames[name].toPandas()
+        for column in df.columns.drop("v"):
+            values = df[column]
+            assert values.astype(object).nunique(dropna=False) >= 2 and values.any(), (name, column)
+    assert frames["spelled_signatures"].select("rule").distinct().count() == 6
+    assert registry.QUERIES["event_graphql"](spark, SF).select("graphql").distinct().count() == 5
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())

@@ -111,3 +111,19 @@ def test_views_and_table_functions(spark):
     assert spark.sql("SELECT text FROM js_tokens('a = 1') ORDER BY ord").collect()[1].text == "="
     rows = spark.sql("SELECT s.id, f.label FROM (SELECT 1 AS id, \"fetch('/x/y')\" AS src) s, LATERAL js_facts(s.src) f WHERE f.what = 'finding'").collect()
     assert [(r.id, r.label) for r in rows] == [(1, "/x/y")]
+
+
+def test_known_facts_move_with_their_assets_and_age_with_the_analyser(spark, tmp_path, monkeypatch):
+    from assetloom.plans import engine as E
+
+    schema = "asset_id string, pos long, file_path string, source string"
+    run = E.Engine(spark, rules=[], folder=f"file://{tmp_path}")
+    old = run.facts(spark.createDataFrame([("js:a", 0, "/old.js", "go('one/two')"), ("js:gone", 1, "/gone.js", "x()"), ("js:bad", 2, "/bad.js", "((")], schema))
+    sources = spark.createDataFrame([("js:a", 7, "/new.js", "go('another text')"), ("js:bad", 2, "/bad.js", "(("), ("js:b", 9, "/b.js", "go('b/c')")], schema)
+    got = run.facts(sources, old)
+    assert {(r.asset_id, r.pos, r.file_path) for r in got.collect()} == {("js:a", 7, "/new.js"), ("js:bad", 2, "/bad.js"), ("js:b", 9, "/b.js")}
+    labels = lambda df: {r.label for r in df.filter("what = 'literal'").collect()}
+    assert labels(got) == {"one/two", "b/c"}  # an id names a text, so js:a wasn't parsed again
+    monkeypatch.setattr(E, "ANALYSER", "next")
+    assert labels(run.facts(sources, got)) == {"another text", "b/c"}
+    assert run.facts(sources.limit(0), got).count() == 0
