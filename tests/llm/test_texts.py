@@ -234,3 +234,17 @@ def test_transfers_of_many_old_shards_move_the_fewest_bytes():
         assert [sum(v for (i, _), v in flow.items() if i == k) for k in range(n)] == sizes if n < 10 else sum(flow.values()) == total
         assert [sum(v for (_, j), v in flow.items() if j == k) for k in range(m)] == capacity
         assert sum(v for (i, j), v in flow.items() if home.get(i) != j) == total - sum(min(sizes[i], capacity[j]) for i, j in home.items())
+
+
+def test_packing_keeps_ids_beside_nulls_and_takes_long_white_space(spark):
+    from assetloom.llm import packing
+    from assetloom.llm.queries import PACK_ENCODER
+
+    big = (1 << 60) + 1
+    rows = [(big, "one two"), (big + 2, "three"), (None, "four"), (None, None), (big, "one two"), (5, " " * 1_000_000), (6, "\n" * 1_000_000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), PACK_ENCODER).collect()
+    assert sorted((str(r.doc_id) for r in got if r.doc_id is None or r.doc_id > 6)) == sorted(map(str, [big, big, big + 2, None, None]))
+    slow = packing.Ids(PACK_ENCODER[0], None, None)
+    for doc, text in rows[-2:]:
+        own = [r for r in got if r.doc_id == doc]
+        assert sum(r.length for r in own) == len(slow.of(text)) + 1 == own[0].doc_tokens
