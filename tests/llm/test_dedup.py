@@ -91,9 +91,9 @@ def test_fingerprints_and_components_match_brute_force(spark):
     assert simhash.near_dedup(frame(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("members", [1 << 18, 40, 3])
-def test_links_lose_nothing_when_prefixes_are_dealt_again(spark, members, monkeypatch):
-    monkeypatch.setattr(simhash, "GROUP_MEMBERS", members)
+@pytest.mark.parametrize("variants", [1 << 21, 4000, 300])
+def test_links_lose_nothing_when_prefixes_are_dealt_again(spark, variants, monkeypatch):
+    monkeypatch.setattr(simhash, "MOST_VARIANTS", variants)
     rng = random.Random(9)
     centre = rng.getrandbits(64)
     fps = {centre}
