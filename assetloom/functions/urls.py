@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 PORTS = {"http": 80, "https": 443, "ws": 80, "wss": 443, "ftp": 21}
+#: A lower-case host without a port, and plain path segments with or without a query: nothing in these changes when they are resolved.
+_ORIGIN = r"(?:https?|wss?)://[a-z0-9-]+(?:\.[a-z0-9-]+)*"
+_PATH = r"(?=/)(?:/[A-Za-z0-9_-][A-Za-z0-9._-]*)*/?(?:\?[A-Za-z0-9_=&.-]+)?"
 _KEEP = "!#$%&'()*+,/:;=?@[]~|^\\`{}-._"
 
 
@@ -47,10 +50,19 @@ def resolve_one(base: str | None, reference: str | None) -> str | None:
 
 
 @F.pandas_udf(StringType())
-def resolve_url(base: pd.Series, reference: pd.Series) -> pd.Series:
+def _resolve(base: pd.Series, reference: pd.Series) -> pd.Series:
     return pd.Series([resolve_one(b, r) for b, r in zip(base, reference, strict=True)], dtype=object)
 
 
+def resolve_url(base: Column, reference: Column) -> Column:
+    """``resolve_one`` of each row. Plain absolute and rooted references are resolved by expressions; Python sees nulls in their place."""
+    known = F.regexp_extract(base, rf"\A({_ORIGIN})(?:/[\x21-\x7E]*)?\z", 1)
+    absolute = reference.rlike(rf"\A{_ORIGIN}{_PATH}\z")
+    rooted = reference.rlike(rf"\A{_PATH}\z") & F.coalesce(known != "", F.lit(False))
+    rest = ~F.coalesce(absolute | rooted, F.lit(False))
+    return F.when(absolute, reference).when(rooted, F.concat(known, reference)).otherwise(_resolve(F.when(rest, base), F.when(rest, reference)))
+
+
 def origin(url: Column) -> Column:
     """scheme://host:port with defaults filled in, or null."""
     part = lambda p: F.try_parse_url(url, F.lit(p))

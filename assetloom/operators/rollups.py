@@ -111,7 +111,7 @@ def page_assets(assets: DataFrame) -> DataFrame:
 
 
 def page_references(pages: DataFrame) -> DataFrame:
-    """(script_url, page_url), each once: which pages load a script. Absolute references need no Python."""
+    """(script_url, page_url), each once: which pages load a script. Plain references need no Python."""
     rows = pages.select("url", F.explode("script_srcs").alias("src"))
     return rows.select(urls.resolve_url(F.col("url"), F.col("src")).alias("script_url"), F.coalesce("url", F.lit("")).alias("page_url")).distinct()
 

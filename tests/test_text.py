@@ -48,5 +48,13 @@ def test_urls(spark):
     cases = {("https://H.example/a/b", "../c"): "https://h.example/c", ("https://h/a", "//o.example:443/x"): "https://o.example/x", ("https://h/a", "https://h"): "https://h/", ("", "x"): "x", ("https://h/a/", "b?c#d"): "https://h/a/b?c#d"}
     for (base, ref), want in cases.items():
         assert urls.resolve_one(base, ref) == want
+
+
+def test_plain_references_need_no_python_and_none_differ(spark):
+    bases = ["https://h.io/a/b?c#d", "http://h", "wss://h.io/", "https://H.io/x", "https://h.io:443/", "https://u@h.io/", "ftp://h/", "nonsense", "", None, "https://h.io/\u00e9", "https://h.io/a b", "http://[h/", "https://h.io?x"]
+    refs = ["/a/b.js", "/a/../b", "/a/./b", "//o.io/x", "/", "", None, "/a//b", "/a?b=c", "/a?", "/a#f", "/.hidden", "/a/..", "b.js", "https://o.io/x.js", "https://o.io", "https://O.io/x", "https://o.io:443/x", "https://o.io:80/x", "ws://o.io/x?y", "/a b", " /a", "/a\n", "/\u00e9", "/a%20b", "?q", "#f", "mailto:x", "https://o.io/a/../b", "/a;b", "/~x"]
+    rows = [(b, r) for b in bases for r in refs]
+    got = spark.createDataFrame(rows, "b string, r string").select("b", "r", urls.resolve_url(F.col("b"), F.col("r")).alias("got")).collect()
+    assert len(got) == len(rows) and [(x.b, x.r, x.got) for x in got if x.got != urls.resolve_one(x.b, x.r)] == []
     df = spark.createDataFrame([("https://h/a", "http://h/a"), ("https://H:443/a", "https://h/b")], "a string, b string")
     assert [r[0] for r in df.select(urls.same_origin(F.col("a"), F.col("b"))).collect()] == [False, True]
