@@ -46,15 +46,20 @@ def stream_captures(spark: SparkSession, path: str, format: str = "parquet", fil
 def read_bodies(spark: SparkSession, path: str) -> DataFrame:
     """(path, source) of text files under a path or glob; names as Spark gives them, without the scheme."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return rows.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.decode("content", "UTF-8").alias("source")).dropDuplicates(["path"])
+    return rows.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.decode("content", "UTF-8").alias("source"))
 
 
 def with_bodies(assets: DataFrame, bodies: DataFrame, deobfuscated: DataFrame | None = None) -> DataFrame:
-    """Adds file_path and source: the deobfuscated text, else the beautified file, else the raw one. Pages aren't read. Assets with no readable body go."""
+    """Adds file_path and source: the deobfuscated text, else the beautified file, else the raw one. Pages aren't read. Assets with no readable body go.
+
+    The path is chosen by name alone, so that each body is exchanged once.
+    """
     code = assets.filter("asset_type <> 'html'")
     wanted = code.select("asset_id", "pos", F.posexplode(F.array("beautified_path", "raw_path")).alias("_order", "path")).filter("coalesce(path, '') <> ''")
-    found = wanted.join(bodies.filter("source <> ''"), "path").groupBy("asset_id", "pos").agg(F.min_by(F.struct("path", "source"), "_order").alias("b"))
-    out = code.join(found, ["asset_id", "pos"]).select(*(code[c] for c in code.columns), F.col("b.path").alias("file_path"), F.col("b.source").alias("source"))
+    there = bodies.filter("source <> ''")
+    chosen = wanted.join(there.select("path"), "path", "left_semi").groupBy("asset_id", "pos").agg(F.min_by("path", "_order").alias("_at"))
+    texts = there.select(F.col("path").alias("_at"), F.col("source").alias("_text"))
+    out = code.join(chosen, ["asset_id", "pos"]).join(texts, "_at").select(*code.columns, F.col("_at").alias("file_path"), F.col("_text").alias("source"))
     if deobfuscated is None:
         return out
     better = deobfuscated.select("asset_id", F.col("source").alias("_better"), F.col("file_path").alias("_path")).filter("coalesce(_better, '') <> ''")

@@ -68,14 +68,22 @@ class IndexSink:
     def __init__(self, spark: SparkSession, folder: str, config: EngineConfig = EngineConfig(), compact: int = COMPACT) -> None:
         self.spark, self.folder, self.config, self.every = spark, folder.rstrip("/"), config, compact
 
+    def _at(self, name: str):
+        """A file system and a path under the folder."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
     def _marks(self, kind: str) -> list[int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs, path = self._at(kind)
         return sorted(int(s.getPath().getName()) for s in fs.listStatus(path)) if fs.exists(path) else []
 
     def _mark(self, kind: str, n: int) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}/{n}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(path, True).close()
+        fs, path = self._at(f"{kind}/{n}")
+        fs.create(path, True).close()
+
+    def _remove(self, name: str) -> None:
+        fs, path = self._at(name)
+        fs.delete(path, True)
 
     def version(self) -> int | None:
         """The latest complete batch."""
@@ -88,7 +96,8 @@ class IndexSink:
         return self.spark.read.parquet(*paths)
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
-        if batch_id in self._marks("done"):
+        fs, mark = self._at(f"done/{batch_id}")
+        if fs.exists(mark):
             return  # complete before a restart
         rows = C.derive(C.classify(batch, self.config), self.config)
         states(rows).write.mode("overwrite").parquet(f"{self.folder}/states/v={batch_id}")
@@ -98,10 +107,23 @@ class IndexSink:
             self.compact(batch_id)
 
     def compact(self, batch_id: int) -> None:
-        """Merges everything up to a batch into new base files; the old ones stay for readers that have begun."""
+        """Merges everything up to a batch into new base files.
+
+        What the last compaction left behind stays for readers that have begun; what it had merged itself goes, so neither folders nor markers pile up.
+        """
+        before = [n for n in self._marks("compacted") if n < batch_id]
         merged(self.table("states")).write.mode("overwrite").parquet(f"{self.folder}/states/base={batch_id}")
         merged_observations(self.table("observations")).write.mode("overwrite").parquet(f"{self.folder}/observations/base={batch_id}")
         self._mark("compacted", batch_id)
+        if before:
+            # Markers go after what they stand for: a run that stops in between deletes again at the next compaction.
+            for n in before[:-1]:
+                for kind in (f"states/base={n}", f"observations/base={n}", f"compacted/{n}"):
+                    self._remove(kind)
+            for n in self._marks("done"):
+                if n <= before[-1]:
+                    for kind in (f"states/v={n}", f"observations/v={n}", f"done/{n}"):
+                        self._remove(kind)
 
     def index(self) -> DataFrame:
         return index_of(merged(self.table("states")))

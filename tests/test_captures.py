@@ -109,6 +109,13 @@ def test_index_files_and_bodies(spark, tmp_path):
     assert [(r.asset_id, r.pos) for r in assets.orderBy("pos").collect()] == [("js:x", 0), ("html:y", 1)]
     bodies = SI.with_bodies(assets, SI.read_bodies(spark, f"file://{tmp_path}/raw"))
     assert [r.source for r in bodies.collect()] == ["pretty"]
+    (tmp_path / "raw/b.js").write_text("")  # an empty file is no body
+    (tmp_path / "raw/sub").mkdir()
+    (tmp_path / "raw/sub/c.js").write_text("other")
+    found = SI.read_bodies(spark, f"file://{tmp_path}/{{raw,raw/sub}}")  # folders that overlap give each file once
+    assert sorted(r.path for r in found.collect()) == [str(tmp_path / "raw" / x) for x in ("a.js", "sub/c.js")]
+    bodies = SI.with_bodies(assets, found)
+    assert [(r.url, r.file_path, r.source) for r in bodies.collect()] == [("u", str(tmp_path / "raw/a.js"), "raw text")]
     index.write_text('{"not": "an array"}')
     assert SI.read_index(spark, str(index), assets) is assets
     with pytest.raises(Exception):
@@ -144,3 +151,15 @@ def test_watching_an_index(spark, tmp_path):
     seen = []
     query = watch_index(spark, f"file://{tmp_path}/in", lambda assets: seen.extend(r.asset_id for r in assets.collect()), f"file://{tmp_path}/check", once=True)
     assert query.awaitTermination(60) and seen == ["js:x"]
+
+
+def test_compaction_removes_what_it_no_longer_needs(spark, tmp_path):
+    rows = frame(spark, random_captures(spark))
+    sink = IndexSink(spark, f"file://{tmp_path}", compact=2)
+    for n in range(7):
+        sink.write(rows.filter(f"capture_id % 7 = {n}"), n)
+        sink.write(rows.filter(f"capture_id % 7 = {n}"), n)  # a batch that is repeated changes nothing
+    assert sink._marks("compacted") == [3, 5] and sink._marks("done") == [4, 5, 6] and sink.version() == 6
+    assert sorted(p.name for p in (tmp_path / "states").iterdir()) == ["base=3", "base=5", "v=4", "v=5", "v=6"]
+    want = C.upsert(C.derive(C.classify(rows)))
+    assert sorted(map(str, sink.index().select(*want.columns).collect())) == sorted(map(str, want.collect()))
