@@ -13,6 +13,12 @@ from dataclasses import dataclass, fields, replace
 from assetloom.functions.js.syntax import _NAME, _NUMBER, _REGEX, RESERVED
 
 
+#: Options of the format that aren't supported, with the only value that may be asked for.
+FIXED = {
+    "wrap_line_length": 0, "comma_first": False, "operator_position": "before-newline", "keep_array_indentation": False, "break_chained_methods": False, "keep_function_indentation": False, "jslint_happy": False, "e4x": False,
+}
+
+
 @dataclass(frozen=True)
 class Options:
     indent_size: int = 4
@@ -33,15 +39,18 @@ class Options:
     disabled: bool = False
 
     def __post_init__(self) -> None:
-        if self.brace_style.split(",")[0] not in ("collapse", "expand", "end-expand", "none"):
+        if self.brace_style not in ("collapse", "expand", "end-expand", "none"):
             raise ValueError(f"no such brace_style: {self.brace_style}")
 
     @classmethod
     def of(cls, given: dict[str, object]) -> Options:
-        """Options by name, with ``-`` or ``_``; those of ``js`` go before the others; unknown ones are left out."""
-        merged = {**{k: v for k, v in given.items() if k not in ("js", "css", "html")}, **dict(given.get("js") or {})}
+        """Options by name, with ``-`` or ``_``; those of ``js`` go before the others; unknown ones are left out, and known ones that aren't supported are an error."""
+        merged = {k: v for k, v in given.items() if k not in ("js", "css", "html")} | dict(given.get("js") or {})
+        named = {k.replace("-", "_"): v for k, v in merged.items()}
+        if lacking := sorted(k for k, v in FIXED.items() if named.get(k, v) != v):
+            raise ValueError(f"not supported: {', '.join(lacking)}")
         known = {f.name for f in fields(cls)}
-        return replace(cls(), **{n: v for k, v in merged.items() if (n := k.replace("-", "_")) in known})
+        return replace(cls(), **{k: v for k, v in named.items() if k in known})
 
 
 @dataclass
@@ -380,7 +389,7 @@ class _Writer:
         if p.opens == "literal" and t.kind == "word" and t.text in ("from", "as", "of", "in", "instanceof"):
             return "space", 0, 0
         if t.kind == "word" and t.role != "member" and (t.text in ("else", "catch", "finally") or t.text == "while" and self.closes_do(p)):
-            joined = self.o.brace_style.split(",")[0] in ("collapse", "none") and not (self.o.brace_style.startswith("none") and kept)
+            joined = self.o.brace_style in ("collapse", "none") and not (self.o.brace_style.startswith("none") and kept)
             return ("space" if joined or t.text == "while" else "line"), 0, 0
         named = p.opens in ("function", "class") and t.kind == "word" and t.text == "function"
         return "line", max(blank, int(named)), self.case_depth(t, where)
