@@ -1,16 +1,18 @@
 """Outputs: lists, JSON, CSV, SARIF and a report with exact names and formats, from small ordered tables; Parquet for every table.
 
-Lines are formatted by expressions and streamed to the driver in order, a partition at a time, so a list may be larger than the driver's memory.
+Lines and rows of JSON are formatted by expressions and streamed to the driver in order, a partition at a time, and from there to the file, so a list may be
+larger than the driver's memory. A path without a scheme is a file of the driver; one with a scheme goes to the file system that it names.
 """
 
 from __future__ import annotations
 
+import io
 import json
 import os
 from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetloom.functions import text as T
@@ -47,12 +49,40 @@ def redacted(findings: DataFrame) -> DataFrame:
 
 
 def _lines(df: DataFrame) -> Iterator[str]:
-    return (r[0] for r in df.toLocalIterator())
+    for row in df.toLocalIterator():  # nothing runs before the first line is asked for
+        yield row[0]
+
+
+class _Remote(io.RawIOBase):
+    """A new file of any file system that Spark knows."""
+
+    def __init__(self, path: str) -> None:
+        spark = SparkSession.active()
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self._out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+
+    def writable(self) -> bool:
+        return True
+
+    def write(self, data) -> int:
+        self._out.write(bytearray(data))
+        return len(data)
+
+    def close(self) -> None:
+        if not self.closed:
+            self._out.close()
+        super().close()
+
+
+def _opened(path: str) -> io.TextIOBase:
+    if "://" in path:
+        return io.TextIOWrapper(io.BufferedWriter(_Remote(path), 1 << 20), encoding="utf-8", newline="\n")
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    return open(path, "w", encoding="utf-8", newline="\n")
 
 
 def write_text(path: str, lines: Iterable[str]) -> str:
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with open(path, "w", encoding="utf-8") as file:
+    with _opened(path) as file:
         first = True
         for line in lines:
             file.write(line if first else "\n" + line)
@@ -61,10 +91,29 @@ def write_text(path: str, lines: Iterable[str]) -> str:
     return path
 
 
+def _write_value(file: io.TextIOBase, value: object, pad: str = "") -> None:
+    """Writes JSON with an indent of two. An iterator is an array of rows that are JSON already, of which one is held at a time."""
+    deeper = pad + "  "
+    if isinstance(value, dict):
+        marks, items = "{}", ((json.dumps(k, ensure_ascii=False) + ": ", v) for k, v in value.items())
+    elif isinstance(value, list):
+        marks, items = "[]", (("", v) for v in value)
+    elif isinstance(value, Iterator):
+        marks, items = "[]", (("", json.loads(row)) for row in value)
+    else:
+        file.write(json.dumps(value, ensure_ascii=False))
+        return
+    some = False
+    for name, item in items:
+        file.write(f"{',' if some else marks[0]}\n{deeper}{name}")
+        _write_value(file, item, deeper)
+        some = True
+    file.write(f"\n{pad}{marks[1]}" if some else marks)
+
+
 def write_json(path: str, data: object) -> str:
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with open(path, "w", encoding="utf-8") as file:
-        json.dump(data, file, indent=2, ensure_ascii=False)
+    with _opened(path) as file:
+        _write_value(file, data)
     return path
 
 
@@ -77,9 +126,9 @@ def finding_json() -> Column:
     return F.to_json(F.struct("kind", "label", "detail", F.col("file_path").alias("filePath"), place.alias("location"), "meta"))
 
 
-def finding_rows(findings: DataFrame, bucket: str) -> list[dict]:
+def finding_rows(findings: DataFrame, bucket: str) -> Iterator[str]:
     few = ordered(findings.filter(F.col("bucket") == bucket))
-    return [json.loads(x) for x in _lines(few.select(finding_json()))]
+    return _lines(few.select(finding_json()))
 
 
 def unique_labels(findings: DataFrame, bucket: str, value: Column | None = None) -> DataFrame:
@@ -132,8 +181,8 @@ def in_order(snapshot: dict[str, DataFrame]) -> dict[str, DataFrame]:
     }
 
 
-def _records(df: DataFrame) -> list[dict]:
-    return [json.loads(x) for x in _lines(df.select(F.to_json(F.struct(*df.columns))))]
+def _records(df: DataFrame) -> Iterator[str]:
+    return _lines(df.select(F.to_json(F.struct(*df.columns))))
 
 
 def write_outputs(folder: str, snapshot: dict[str, DataFrame]) -> list[str]:
@@ -191,8 +240,9 @@ def export_sarif(folder: str, findings: DataFrame, tool: str = TOOL) -> str:
     place = F.struct(
         F.struct(F.struct(F.col("filePath").alias("uri")).alias("artifactLocation"), F.struct(F.coalesce("line", F.lit(1)).alias("startLine"), F.coalesce("column", F.lit(1)).alias("startColumn")).alias("region")).alias("physicalLocation")
     )
-    results = [json.loads(x) for x in _lines(rows.select(F.to_json(F.struct(F.col("category").alias("ruleId"), F.struct(F.col("label").alias("text")).alias("message"), F.array(place).alias("locations")))))]
-    rules = list(dict.fromkeys(r["ruleId"] for r in results))
+    results = _lines(rows.select(F.to_json(F.struct(F.col("category").alias("ruleId"), F.struct(F.col("label").alias("text")).alias("message"), F.array(place).alias("locations")))))
+    found = {r[0] for r in rows.select("category").distinct().collect()}  # no more than there are exports
+    rules = [category for _, category, _ in EXPORTS if category in found]
     run = {"tool": {"driver": {"name": tool, "rules": [{"id": r, "name": r, "shortDescription": {"text": r}} for r in rules]}}, "results": results}
     return write_json(os.path.join(folder, "findings.sarif"), {"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [run]})
 

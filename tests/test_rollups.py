@@ -81,6 +81,11 @@ def test_snapshot_to_outputs(spark, tmp_path):
     assert "- Assets analyzed: 3" in report and "## Alerts" in report
     assert "apiToken" not in open(W.write_wordlist(str(tmp_path / "w.txt"), snap["words"])).read().split()
     assert "abcdefghij-1234" not in str(W.redacted(snap["findings"]).filter("bucket = 'secrets'").collect())
+    far = W.export(f"file://{tmp_path}/far", snap, "sarif")
+    assert json.load(open(far[len("file://") :])) == sarif and [r["id"] for r in sarif["runs"][0]["tool"]["driver"]["rules"]] == list(dict.fromkeys(r["ruleId"] for r in sarif["runs"][0]["results"]))
+    for path in paths:
+        if path.endswith(".json"):
+            assert (text := open(path, encoding="utf-8").read()) == json.dumps(json.loads(text), indent=2, ensure_ascii=False)
     W.write_tables(f"file://{tmp_path}/tables", {k: snap[k] for k in ("findings", "coverage")})
     assert spark.read.parquet(f"file://{tmp_path}/tables/findings").count() == snap["findings"].count()
 
