@@ -83,7 +83,7 @@ def slug(method: Column, url: Column) -> Column:
 
 def script_sources(html: Column) -> Column:
     found = F.regexp_extract_all(html, F.lit("(?i)<script[^>]+src=[\"']([^\"']+)[\"']"), F.lit(1))
-    return F.transform(found, F.trim)
+    return F.transform(found, lambda src: F.trim(src))  # trim alone would take the place as its characters
 
 
 def inline_scripts(html: Column) -> Column:

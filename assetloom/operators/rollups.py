@@ -110,10 +110,11 @@ def page_assets(assets: DataFrame) -> DataFrame:
     )
 
 
-def page_references(pages: DataFrame) -> DataFrame:
-    """(script_url, page_url), each once: which pages load a script. Plain references need no Python."""
-    rows = pages.select("url", F.explode("script_srcs").alias("src"))
-    return rows.select(urls.resolve_url(F.col("url"), F.col("src")).alias("script_url"), F.coalesce("url", F.lit("")).alias("page_url")).distinct()
+def page_references(pages: DataFrame, *own: str) -> DataFrame:
+    """(script_url, page_url), each once: which pages load a script. Columns of ``own`` tell pages with one URL apart. Plain references need no Python."""
+    rows = pages.select("url", *(F.col(c).alias(f"_{c}") for c in own), F.explode("script_srcs").alias("src"))
+    kept = (F.col(f"_{c}").alias(c) for c in own)
+    return rows.select(urls.resolve_url(F.col("url"), F.col("src")).alias("script_url"), F.coalesce("url", F.lit("")).alias("page_url"), *kept).distinct()
 
 
 def referrers(assets: DataFrame, pages: DataFrame) -> DataFrame:
@@ -121,10 +122,10 @@ def referrers(assets: DataFrame, pages: DataFrame) -> DataFrame:
     return assets.select("asset_id", F.col("url").alias("script_url")).join(page_references(pages), "script_url").drop("script_url")
 
 
-def script_targets(assets: DataFrame, pages: DataFrame) -> DataFrame:
-    """(page_url, script_url, asset_id): the first asset, not a page, of each script's URL; null if not captured."""
+def script_targets(assets: DataFrame, pages: DataFrame, *own: str) -> DataFrame:
+    """(page_url, script_url, asset_id): the first asset, not a page, of each script's URL; null if not captured. Columns of ``own`` as in ``page_references``."""
     first = assets.filter("coalesce(asset_type, 'js') <> 'html'").groupBy(F.col("url").alias("script_url")).agg(F.min_by("asset_id", "pos").alias("asset_id"))
-    return page_references(pages).join(first, "script_url", "left")
+    return page_references(pages, *own).join(first, "script_url", "left")
 
 
 def wordlist(words: DataFrame) -> DataFrame:
