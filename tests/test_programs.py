@@ -1,7 +1,8 @@
 import pytest
 
-from assetloom.functions.js.facts import extract
-from assetloom.functions.js.syntax import parse
+from assetloom import registry
+from assetloom.functions.js.facts import STEPS, extract
+from assetloom.functions.js.syntax import Parser, parse
 from assetloom.operators.facts import facts
 from assetloom.operators.findings import call_graph, findings, traces, words
 from assetloom.sources.rules import DEFAULTS, Rule, load_rules, to_java, valid
@@ -90,3 +91,21 @@ def test_rules(spark, tmp_path):
 
 def test_statuses_of_plain_extraction():
     assert extract("x")[-1].label == "parsed" and extract("(")[-1].label == "failed"
+
+
+def test_steps_give_the_facts_of_the_whole_in_its_order():
+    source = registry.PROGRAM.replace("{k}", "7")
+    whole = extract(source)
+    assert {step: len(extract(source, (step,))) for step in STEPS} == {"findings": len(whole) - 12, "calls": 11, "traces": len([f for f in whole if f.what == "trace"]) + 1}
+    assert [f for step in STEPS for f in extract(source, (step,))[:-1]] == whole[:-1]
+
+
+def test_a_token_is_read_once(monkeypatch):
+    reads, token = [], Parser.token
+    monkeypatch.setattr(Parser, "token", lambda self, pos: reads.append(pos) or token(self, pos))
+    assert parse("let a = b(c, d.e); async (f) => f; g: for (const h of i) j = [k, l]") is not None
+    assert len(reads) == len(set(reads))
+
+
+def test_programs_of_a_small_file_are_spread(spark):
+    assert registry.programs(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
