@@ -257,3 +257,32 @@ def test_long_copies_are_aligned_in_parts(spark):
     edited = [w if n % 40 else "edit" for n, w in enumerate(long)]
     got = {r.doc_id: (r.start_word, r.end_word) for r in substring_dedup.passages(frame(spark, [(1, " ".join(long)), (2, " ".join(edited))])).collect()}
     assert set(got) == {1, 2} and all(a <= 1 and b == 20_000 for a, b in got.values())
+
+
+def test_fuzzy_passages_of_rows_that_are_neither_first_nor_last_are_found(spark):
+    rng = random.Random(31)
+    passage = words(rng, 110)
+    edited = [words(rng, 1)[0] if k % 9 == 4 else w for k, w in enumerate(passage)]
+    rows = [(100, " ".join(words(rng, 30) + passage + words(rng, 30))), (101, " ".join(words(rng, 45) + edited + words(rng, 20)))]
+    # Each 5-mer of either is also in an earlier and a later row, and no 50 words are equal.
+    for n, text in enumerate((passage, edited)):
+        for k in range(len(text) - 4):
+            rows += [(i, " ".join(words(rng, 20) + text[k : k + 5] + words(rng, 20))) for i in (-1000 * (n + 1) + k, 1000 * (n + 1) + k)]
+    docs = frame(spark, sorted(rows)).coalesce(1).sortWithinPartitions("doc_id")
+    got = {r.doc_id: (r.start_word, r.end_word, r.partner_id) for r in substring_dedup.passages(docs).collect()}
+    assert set(got) == {100, 101} and got[100][2] == 101 and got[101][2] == 100
+    assert 30 <= got[100][0] <= 36 and 134 <= got[100][1] <= 140 and 45 <= got[101][0] <= 51 and 149 <= got[101][1] <= 155
+
+
+def test_rows_that_share_a_short_text_only_do_not_meet():
+    rng = np.random.default_rng(32)
+    draw = lambda k: rng.integers(0, 1 << 16, k).astype(np.uint16)
+    stock, passage = draw(30), draw(60)
+    changed = passage.copy()
+    changed[::9] ^= 1
+    cuts = [np.concatenate([draw(60), stock, draw(60)]) for _ in range(40)]
+    cuts += [np.concatenate([draw(40), stock, p, draw(20)]) for p in (passage, changed)] + [np.concatenate([stock, draw(70), stock])]
+    nodes, asks = np.arange(len(cuts)), np.ones(len(cuts), bool)
+    for every in (False, True):
+        met = substring_dedup.meet(np.zeros(len(cuts), np.int64), nodes, asks, [c.tobytes() for c in cuts], every)
+        assert set(met) == {(40, 41), (41, 40)}
