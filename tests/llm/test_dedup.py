@@ -286,3 +286,29 @@ def test_rows_that_share_a_short_text_only_do_not_meet():
     for every in (False, True):
         met = substring_dedup.meet(np.zeros(len(cuts), np.int64), nodes, asks, [c.tobytes() for c in cuts], every)
         assert set(met) == {(40, 41), (41, 40)}
+
+
+def test_a_line_that_one_row_repeats_makes_no_pairs_and_a_replaced_block_is_crossed():
+    rng = np.random.default_rng(33)
+    draw = lambda k: rng.integers(0, 1 << 16, k).astype(np.uint16)
+    line, passage = draw(14), draw(110)
+    block = passage.copy()
+    block[40:62] = draw(22)
+    cuts = [np.concatenate([draw(30), line, draw(30)]) for _ in range(40)] + [np.concatenate([line, draw(26), line])]
+    cuts += [np.concatenate([line, draw(70), p[10:92], draw(20)]) for p in (passage, block)]
+    nodes, asks = np.arange(len(cuts)), np.ones(len(cuts), bool)
+    for every in (False, True):
+        met = substring_dedup.meet(np.zeros(len(cuts), np.int64), nodes, asks, [c.tobytes() for c in cuts], every)
+        assert set(met) == {(41, 42), (42, 41)}
+    # Keys that are taken together are held apart.
+    keys = np.repeat([5, 6], len(cuts))
+    met = substring_dedup.meet(keys, np.tile(nodes, 2), np.tile(asks, 2), [c.tobytes() for c in cuts] * 2, True)
+    n = len(cuts)
+    assert set(met) == {(41, 42), (42, 41), (n + 41, n + 42), (n + 42, n + 41)}
+
+
+def test_a_filter_lets_all_of_its_keys_through(spark):
+    keys = np.random.default_rng(34).integers(-(2**63), 2**63 - 1, 5000)
+    known = substring_dedup._filter(spark.createDataFrame([(int(k),) for k in keys[:1000]], "key long"))
+    through = substring_dedup._known(known, keys.view(np.uint64))
+    assert through[:1000].all() and through[1000:].mean() < 0.01
